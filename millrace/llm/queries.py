@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from millrace.session import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the file of a public tokenizer is; installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pack(spark, sf_dir):
+    """Pack all documents into sequences of at most 2048 ids."""
+    from millrace.llm.packing import pack
+
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op2_source_mix(spark, sf_dir):
     """Mix all documents; one row per document, sorted by its first position."""
     from millrace.llm.mixing import mix
@@ -59,7 +78,7 @@ FROM q
 
 
 def queries() -> dict:
-    return {"op2_source_mix": op2_source_mix}
+    return {name: query for name, query in globals().items() if re.match(r"op\d+_", name)}
 
 
 def oracle_sql() -> dict[str, str]:
