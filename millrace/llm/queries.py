@@ -42,6 +42,14 @@ def op2_source_mix(spark, sf_dir):
     ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id").drop("first_position")
 
 
+def op3_media(spark, sf_dir):
+    """Store every text as an image in archives and describe what is read back."""
+    from millrace.llm.media import through_archive
+
+    described = through_archive(table(spark, sf_dir, "documents"))
+    return described.withColumn("doc_id", F.col("key").cast("long")).drop("key")
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
