@@ -50,6 +50,14 @@ def op3_media(spark, sf_dir):
     return described.withColumn("doc_id", F.col("key").cast("long")).drop("key")
 
 
+def op4_quality(spark, sf_dir):
+    """Statistics, base rule and the trees' verdict of every document."""
+    from millrace.llm.quality import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("score")
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
