@@ -58,6 +58,17 @@ def op4_quality(spark, sf_dir):
     return judge(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("score")
 
 
+def op7_secrets(spark, sf_dir):
+    """Base counts and digest and all spans of every document."""
+    from millrace.llm.secret_scan import scan
+
+    def written(span):
+        return F.concat_ws(":", span["kind"], span["start"].cast("string"), span["end"].cast("string"))
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.concat_ws(",", F.transform("spans", written)))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
