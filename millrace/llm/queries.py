@@ -69,6 +69,13 @@ def op7_secrets(spark, sf_dir):
     return found.withColumn("spans", F.concat_ws(",", F.transform("spans", written)))
 
 
+def op10_ngram_join(spark, sf_dir):
+    """Shingle set size and component of every document."""
+    from millrace.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
@@ -104,9 +111,36 @@ FROM q
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []
+           WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+           ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh
+  FROM w),
+d AS MATERIALIZED (SELECT doc_id, len(sh) AS n FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (
+  SELECT x, y FROM p JOIN d dx ON dx.doc_id = x JOIN d dy ON dy.doc_id = y
+  WHERE 100 * c >= 80 * (dx.n + dy.n - c)),
+r AS (
+  SELECT doc_id AS a, doc_id AS z FROM d
+  UNION
+  SELECT r.a, l.y FROM r JOIN l ON l.x = r.z)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, CAST(min(r.z) AS BIGINT) AS component_id
+FROM d JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, d.n
+"""
+
+
 def queries() -> dict:
     return {name: query for name, query in globals().items() if re.match(r"op\d+_", name)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": OP2_SQL}
+    return {"op2_source_mix": OP2_SQL, "op10_ngram_join": OP10_SQL}
