@@ -111,13 +111,25 @@ class WordIds:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text, positions after the sentence ends), END_ID not yet added."""
-        if len(self.codes) > VOCABULARY_LIMIT:
-            self.forget()
         words, ends = [], [0]
         for text in texts:
             found = text.translate(_SPACES).split(b" ")
             words += [w for w in found if w] if b"" in found else found
             ends.append(len(words))
+        ids, lengths, codes = self._look_up(words)
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        per_text = np.diff(upto[np.asarray(ends)])
+        return ids, per_text, upto[1:][self.ends_sentence[codes]]
+
+    def of_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per word), the words being those of ``split_words``."""
+        ids, lengths, _ = self._look_up(split_words(texts)[0])
+        return ids, lengths
+
+    def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words, ids per word, code of each word)."""
+        if len(self.codes) > VOCABULARY_LIMIT:
+            self.forget()
         codes = self.codes.of(words)
         if new := self.codes.take_new():
             flat, counts = self.encode([w.decode() for w in new])
@@ -127,9 +139,7 @@ class WordIds:
             self.ends_sentence = np.concatenate([self.ends_sentence, marks])
         lengths = (self.first[1:] - self.first[:-1])[codes]
         ids = self.ids[spread(self.first[:-1][codes], lengths)]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        per_text = np.diff(upto[np.asarray(ends)])
-        return ids, per_text, upto[1:][self.ends_sentence[codes]]
+        return ids, lengths, codes
 
 
 def cut_points(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -76,6 +76,13 @@ def op10_ngram_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark, sf_dir):
+    """Base and model scores of every document."""
+    from millrace.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
