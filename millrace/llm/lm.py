@@ -10,9 +10,10 @@ scored once, in the window where it is one of the last STRIDE, by batched masked
 attention over many windows of many texts at once.
 
 The corpus itself is counted in full: the words of all training documents are
-counted by Spark, and the model's probability of a word interpolates, with
-weight COUNT_WEIGHT, its share of the counts with the product of its subwords'
-attention probabilities. Words never seen rest on the attention alone.
+counted by Spark, and the model's probability of a word interpolates its share
+of the counts with the product of its subwords' attention probabilities. The
+share weighs N / (N + V), N counted words of which V differ: the rate at which a
+word has been seen before. Words never seen rest on the attention alone.
 
 Scale: documents are dealt to blocks of about BLOCK_BYTES of text; each block
 sends its distinct words, as 64-bit hashes with counts, to be summed and gets
@@ -41,9 +42,8 @@ from millrace.session import cut
 
 CONTEXT, STRIDE = 8, 16
 DIM, HIDDEN, FAN = 16, 32, 37
-FIT_DOCS = 1200
-EPOCHS, BATCH_WINDOWS, RATE = 2, 384, 4e-3
-COUNT_WEIGHT = 0.5
+FIT_DOCS = 1000
+EPOCHS, BATCH_WINDOWS, RATE = 3, 128, 1.2e-2
 BLOCK_BYTES = 24 << 20
 SCORE_WINDOWS = 1024
 HELD_MODULUS, HELD_REMAINDER = 7, 2
@@ -349,7 +349,7 @@ def score(
     n_train, distinct = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
 
     own = counts.withColumn("total", F.sum("n").over(Window.partitionBy("word"))).select("block", "word", "total")
-    run = _score_block(model, tokenizer_path, n_train, COUNT_WEIGHT)
+    run = _score_block(model, tokenizer_path, n_train, n_train / max(1, n_train + distinct))
     scored = dealt.groupBy("block").cogroup(own.repartition(n_blocks, "block").groupBy("block")).applyInArrow(run, SCHEMA)
     base = F.col("base_logs") - F.col("n_tokens") * F.lit(float(np.log10(n_train + distinct + 1)))
     return scored.select(
