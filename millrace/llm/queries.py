@@ -58,6 +58,15 @@ def op4_quality(spark, sf_dir):
     return judge(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("score")
 
 
+def op5_langid(spark, sf_dir):
+    """Main language of every document, learned from those that are not held out."""
+    from millrace.llm.langid import fit, held_out, predict
+
+    docs = table(spark, sf_dir, "documents")
+    found = predict(docs, fit(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_secrets(spark, sf_dir):
     """Base counts and digest and all spans of every document."""
     from millrace.llm.secret_scan import scan
