@@ -102,6 +102,15 @@ def op10_ngram_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    """Probability that a document is toxic, and the decision."""
+    from millrace.llm.toxicity import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_lm_score(spark, sf_dir):
     """Base and model scores of every document."""
     from millrace.llm.lm import score
