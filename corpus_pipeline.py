@@ -1,15 +1,78 @@
-"""The corpus pipeline: stages of the llm operators, each written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages, each an llm operator over all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns the columns of ``documents``,
+but for the last, which returns packed pieces. ``run`` chains the stages over
+``documents``; each result is written as Parquet to the shared folder and reread.
+
+Nulls: null texts count as empty and stay null in the table; null ids are kept.
+An empty table gives no pieces. Extra columns pass through to the last stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.llm import mixing, ngram_join, packing, secret_scan, toxicity
+from millrace.llm.queries import tokenizer_path
+from millrace.session import shared_dir, table
+
+
+def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled documents of the input."""
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, machine)
+
+
+def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays.
+
+    Rows that repeat an id with the same text count as one document.
+    """
+    found = ngram_join.near_duplicates(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
+    repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if repeats:
+        kept = kept.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).drop("text_hash")
+    return kept
+
+
+def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; ``n_chars`` follows the text."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix in training order, as often as it takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, with their ids, packed into sequences of 2048."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: The first stage's classifier cannot be written in SQL.
+#: The first stage's classifier cannot be written in SQL; the stages are tested by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs.write.parquet(f"{folder}/{number}")
+            docs = spark.read.parquet(f"{folder}/{number}")
     return docs
