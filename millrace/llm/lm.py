@@ -1,9 +1,9 @@
 """Language-model scoring with a causal self-attention model in numpy.
 
 The model predicts subword ids of a public tokenizer: embeddings plus window
-positions, one causal self-attention layer, one hidden layer, and an output of
-three softmax levels of FAN codes each, the later ones gated by the codes
-before them. It is trained by Adam on the driver on the whole texts of at most
+positions, one causal self-attention layer, one hidden layer, and an output over
+three codes of FAN values each: two softmax levels, the second gated by the first
+code, and the share of the third code among ids that agree in the first two. It is trained by Adam on the driver on the whole texts of at most
 FIT_DOCS training documents (a documented bound, chosen by hash). A text is
 scored in windows of CONTEXT + STRIDE ids that overlap by CONTEXT: each id is
 scored once, in the window where it is one of the last STRIDE, by batched masked
@@ -44,8 +44,9 @@ CONTEXT, STRIDE = 8, 16
 DIM, HIDDEN, FAN = 16, 32, 37
 FIT_DOCS = 1000
 EPOCHS, BATCH_WINDOWS, RATE = 3, 128, 1.2e-2
-BLOCK_BYTES = 24 << 20
-SCORE_WINDOWS = 1024
+BLOCK_BYTES = 16 << 20
+PIECE_BYTES = 1 << 20
+SCORE_WINDOWS = 256
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 END_HASH = -1  # stands for the end token among the word hashes
 _LN10 = float(np.log(10))
@@ -64,8 +65,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _log_pick(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """log softmax of each row at its picked entry."""
-    np.minimum(z, _MOST, out=z)
+    """log softmax of each row at its picked entry; shifts the rows only if exp() needs it."""
+    if z.max(initial=0) > _MOST:
+        z = z - z.max(axis=1, keepdims=True)
     picked = z[np.arange(len(z)), pick]
     np.exp(z, out=z)
     return picked - np.log(z @ np.ones(z.shape[1], np.float32))
@@ -100,10 +102,11 @@ class AttentionModel:
             "P": small(CONTEXT + STRIDE, DIM),
             "Q": small(DIM, DIM), "K": small(DIM, DIM), "V": small(DIM, DIM), "O": small(DIM, DIM),
             "U": small(DIM, HIDDEN), "u": np.zeros(HIDDEN, np.float32), "D": small(HIDDEN, DIM),
-            "W1": small(DIM, FAN), "W2": small(DIM, FAN), "W3": small(DIM, FAN),
-            "G2": np.ones((FAN, DIM), np.float32), "G3": np.ones((FAN * FAN, DIM), np.float32),
-            "b1": bias(mass.sum(axis=(1, 2))), "b2": bias(mass.sum(axis=2)), "b3": bias(mass.reshape(FAN * FAN, FAN)),
+            "W1": small(DIM, FAN), "W2": small(DIM, FAN),
+            "G2": np.ones((FAN, DIM), np.float32),
+            "b1": bias(mass.sum(axis=(1, 2))), "b2": bias(mass.sum(axis=2)),
         }
+        self.third = bias(mass)[tuple(self.codes.T)]  # log share of each id's third code
         offset = np.arange(CONTEXT + STRIDE)
         self.causal = np.where(offset[None, :] <= CONTEXT + np.arange(STRIDE)[:, None], 0, -1e9).astype(np.float32)
 
@@ -133,21 +136,47 @@ class AttentionModel:
         return x, asked, q, k, v, a, mixed, h, m, h + m @ p["D"]
 
     def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Natural log probability of each id, of texts laid end to end, each closed by the end id."""
+        """Natural log probability of each id, of texts laid end to end, each closed by the end id.
+
+        The same function as ``_hidden`` and its output, with adjacent matrices multiplied out
+        beforehand and all rows of a chunk in one product.
+        """
         out = np.zeros(len(ids), np.float32)
         starts, sizes, firsts = windows_of(lengths)
         p = self.p
+        ask, say = p["Q"] @ p["K"].T * np.float32(DIM**-0.5), p["V"] @ p["O"]
+        ones = np.ones((CONTEXT + STRIDE, 1), np.float32)
+        first_code, second_code = np.ascontiguousarray(self.codes[:, 0]), np.ascontiguousarray(self.codes[:, 1])
         for at in range(0, len(starts), SCORE_WINDOWS):
             start, size = starts[at : at + SCORE_WINDOWS], sizes[at : at + SCORE_WINDOWS]
-            h = self._hidden(*self._gather(ids, start, firsts[at : at + SCORE_WINDOWS]))[-1]
-            scored = np.arange(STRIDE) < size[:, None]
-            place = (start[:, None] + np.arange(STRIDE))[scored]
-            h, code = h[scored], self.codes[ids[place]]
-            pair = code[:, 0] * FAN + code[:, 1]
-            logs = _log_pick(h @ p["W1"] + p["b1"], code[:, 0])
-            logs += _log_pick((h * p["G2"][code[:, 0]]) @ p["W2"] + p["b2"][code[:, 0]], code[:, 1])
-            logs += _log_pick((h * p["G3"][pair]) @ p["W3"] + p["b3"][pair], code[:, 2])
-            out[place] = logs
+            inputs, mask = self._gather(ids, start, firsts[at : at + SCORE_WINDOWS])
+            x = p["E"][inputs]
+            x += p["P"]
+            asked = x[:, CONTEXT:].reshape(-1, DIM)
+            a = (asked @ ask).reshape(len(x), STRIDE, DIM) @ x.transpose(0, 2, 1)
+            a += self.causal
+            first = np.flatnonzero(mask[:, 0])
+            a[first] += mask[first, None, :]
+            np.exp(a, out=a)
+            a /= (a.reshape(-1, CONTEXT + STRIDE) @ ones).reshape(len(x), STRIDE, 1)
+            h = asked + (a @ x).reshape(-1, DIM) @ say
+            m = h @ p["U"]
+            m += p["u"]
+            np.maximum(m, 0, out=m)
+            h += m @ p["D"]
+            place = start[:, None] + np.arange(STRIDE)
+            if size.min() == STRIDE:
+                place = place.reshape(-1)
+            else:
+                scored = np.arange(STRIDE) < size[:, None]
+                place, h = place[scored], h[scored.reshape(-1)]
+            target = ids[place]
+            c1, c2 = first_code[target], second_code[target]
+            logs = _log_pick(h @ p["W1"] + p["b1"], c1)
+            z = (h * p["G2"][c1]) @ p["W2"]
+            z += p["b2"][c1]
+            logs += _log_pick(z, c2)
+            out[place] = logs + self.third[target]
         return out
 
     def train(self, ids: np.ndarray, lengths: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> None:
@@ -177,10 +206,9 @@ class AttentionModel:
         place = (start[:, None] + np.arange(STRIDE))[scored]
         code = self.codes[ids[place]]
         hs, rows, n = top[scored], np.arange(len(place)), np.float32(len(place))
-        pair = code[:, 0] * FAN + code[:, 1]
         g = {}
         dhs = np.zeros_like(hs)
-        for level, gate, index in ((1, None, None), (2, "G2", code[:, 0]), (3, "G3", pair)):
+        for level, gate, index in ((1, None, None), (2, "G2", code[:, 0])):
             w, b = p[f"W{level}"], p[f"b{level}"]
             seen = hs if gate is None else hs * p[gate][index]
             d = _softmax(seen @ w + (b if index is None else b[index]))
@@ -237,21 +265,31 @@ def fit(docs: DataFrame, tokenizer_path: str, fit_docs: int = FIT_DOCS) -> Atten
 
 
 class _Words:
-    """The distinct words of a block with their hashes."""
+    """The distinct words of a block, with hashes and, if a tokenizer is given, ids."""
 
-    def __init__(self):
+    def __init__(self, word_ids: WordIds | None = None):
         self.codes, self.hashes = Codes(), np.zeros(0, np.int64)
+        self.word_ids, self.ids, self.counts = word_ids, np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         words, ends = split_words(texts)
         codes = self.codes.of(words)
-        new = self.codes.take_new()
-        fresh = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)).view(np.int64)
-        self.hashes = np.concatenate([self.hashes, fresh])
+        if new := self.codes.take_new():
+            fresh = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)).view(np.int64)
+            self.hashes = np.concatenate([self.hashes, fresh])
+            if self.word_ids is not None:
+                ids, counts = self.word_ids.encode([w.decode() for w in new])
+                self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+                self.first = np.cumsum(self.counts) - self.counts
         return codes, ends
 
+    def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in a row, ids per word)."""
+        counts = self.counts[codes]
+        return self.ids[spread(self.first[codes], counts)].astype(np.int64), counts
+
 
-def _pieces(texts: list[bytes], size: int = 4 << 20):
+def _pieces(texts: list[bytes], size: int = PIECE_BYTES):
     """Runs of texts of bounded bytes: (begin, end)."""
     begin = held = 0
     for i, text in enumerate(texts):
@@ -291,10 +329,9 @@ def _score_block(model, tokenizer_path: str, n_train: int, weight: float):
     """A function that scores the documents of a block with the counts of its words."""
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        word_ids = WordIds.of(tokenizer_path)
         order = np.argsort(np.asarray(counts.column("word")))
         known, known_n = np.asarray(counts.column("word"))[order], np.asarray(counts.column("total"))[order]
-        texts, words = _texts(docs), _Words()
+        texts, words = _texts(docs), _Words(WordIds.of(tokenizer_path))
         count_of = np.zeros(0, np.int64)
         out = [np.zeros(len(texts)) for _ in range(5)]
         end_count = int(known_n[np.searchsorted(known, END_HASH)]) if len(known) else 0
@@ -308,9 +345,9 @@ def _score_block(model, tokenizer_path: str, n_train: int, weight: float):
             c = np.insert(count_of[codes], ends[1:], end_count)
             text_of = np.repeat(np.arange(b - a), np.diff(ends) + 1)
             sums = lambda w, n=b - a, t=text_of: np.bincount(t, w, minlength=n)
-            ids, per_word = word_ids.of_words(lowered)
+            ids, per_word = words.ids_of(codes) if len(codes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             per_word = np.insert(per_word, ends[1:], 1)
-            ids = np.insert(ids.astype(np.int64), np.cumsum(per_word)[ends[1:] + np.arange(b - a)] - np.arange(1, b - a + 1), model.end)
+            ids = np.insert(ids, np.cumsum(per_word)[ends[1:] + np.arange(b - a)] - np.arange(1, b - a + 1), model.end)
             logs = model.score(ids, np.bincount(text_of, per_word, minlength=b - a).astype(np.int64))
             attention = np.bincount(np.repeat(np.arange(len(c)), per_word), logs, minlength=len(c))
             attention[per_word == 0] = -np.log(FAN**3)  # a word the tokenizer drops

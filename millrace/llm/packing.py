@@ -121,11 +121,6 @@ class WordIds:
         per_text = np.diff(upto[np.asarray(ends)])
         return ids, per_text, upto[1:][self.ends_sentence[codes]]
 
-    def of_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids per word), the words being those of ``split_words``."""
-        ids, lengths, _ = self._look_up(split_words(texts)[0])
-        return ids, lengths
-
     def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all words, ids per word, code of each word)."""
         if len(self.codes) > VOCABULARY_LIMIT:
