@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,3 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now.
+
+    They go once the driver has collected the plans they belong to, which on an
+    idle driver can take long; a job in several steps needs the disk before that.
+    Names of those plans must be gone or bound anew before the call.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
