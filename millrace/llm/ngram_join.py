@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.textcodes import Codes, blocks, split_words, spread
-from millrace.session import cut
+from millrace.session import cut, release
 
 N_WORDS = 5
 PERCENT = 80
@@ -152,7 +152,7 @@ def bands(largest: int, percent: int = PERCENT, ratio: float = BAND_RATIO) -> li
         elif k <= 2:
             n1, n2, k2 = k + 1, 1, 0
         else:
-            n2, k2 = (3, 1) if high <= 300 else (2, 1)
+            n2, k2 = (3, 1) if high <= 150 else (2, 1)
             n1 = k // (k2 + 1) + 1
             n1 += 1 + n1 * 4 // 100  # room for cells without elements
         out.append(Band(low, high, k, n1, n2, k2))
@@ -339,6 +339,7 @@ def near_duplicates(
         .distinct()
     )
     shared = cut(shared)
+    release(docs.sparkSession)
 
     # Round 1: each class against the first of its bucket.
     star = shared.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
@@ -353,7 +354,9 @@ def near_duplicates(
     chosen = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_doc"]), "left_semi")
     sets = _sets_of(chosen, n, hold, "key long, hashes array<long>").dropDuplicates(["key"])
     sets = cut(sets)
+    release(docs.sparkSession)
     links = cut(_verified(star, sets, percent))
+    release(docs.sparkSession)
 
     # Round 2: classes that share a bucket and are still apart.
     roots = components(links)
