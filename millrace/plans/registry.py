@@ -6,15 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import relational
-
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (relational,)
+_FOUND: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register the decorated builder under ``name`` with its check SQL."""
+
+    def add(builder: Query) -> Query:
+        _FOUND[name] = (builder, sql)
+        return builder
+
+    return add
+
+
+def same_sql(name: str, sql: str, *tables: str) -> None:
+    """A query whose Spark SQL and check SQL are one text."""
+
+    def run(spark, sf_dir):
+        from millrace.session import table
+
+        for t in tables:
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(sql)
+
+    _FOUND[name] = (run, sql)
+
+
+def _load() -> dict:
+    from millrace.plans import analytic, extension, relational, scalar, streams, text  # noqa: F401  they register themselves
+
+    return _FOUND
 
 
 def queries() -> dict[str, Query]:
-    return {name: q for m in MODULES for name, (q, _) in m.QUERIES.items()}
+    return {name: builder for name, (builder, _) in sorted(_load().items())}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in sorted(_load().items()) if sql}
