@@ -25,11 +25,17 @@ Signature buckets with more than one class are kept. First every class is
 compared with the bucket's first class (a star, linear in the bucket), the links
 are closed to components, and only pairs of classes that share a bucket but are
 still in different components are compared in a second round, in blocks of at
-most BLOCK classes, behind lower bounds on the difference (sizes, and a parity
-sketch of 256 bits: each element flips one bit, so the bits that differ are at
-most the elements that differ). Pairs are verified by the exact sizes of
-intersection and union. Components are closed by alternating large-star and
-small-star steps.
+most BLOCK classes, behind lower bounds on the difference (sizes, and parity
+sketches: each element flips one bit, so the bits that differ are at most the
+elements that differ). A sketch of 256 bits thins out the pairs where they are
+made, one of as many bits as the set has elements those that are left. Pairs are
+verified by the exact sizes of intersection and union. Components are closed by
+alternating large-star and small-star steps.
+
+The sets of the classes in question are made again from their texts, as sets of
+all classes would be larger than the input. A bitmap of at most PRESENT_BITS bits
+tells tasks which texts they can pass over; what it passes beyond need goes when
+the sets are joined with the pairs, so its bound only decides how much is moved.
 
 Hash collisions: shingles, classes and signatures are 64-bit hashes. An equal
 signature only adds a comparison; for n distinct sets, two share a fingerprint
@@ -63,6 +69,8 @@ BAND_RATIO = 1.6
 DEALINGS = 4
 SKETCH_WORDS = 4
 BLOCK = 512
+#: Largest bitmap of wanted texts that tasks are given, and its bits for each of them.
+PRESENT_BITS, BITS_EACH = 1 << 26, 16
 VOCABULARY_LIMIT = 600_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -223,14 +231,34 @@ def _dealt(flat, ends, sets, where, table, shape, dealing, percent):
     return np.concatenate(found), np.concatenate(owner), few
 
 
-def sketches(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Parity sketch of each set: SKETCH_WORDS 64-bit words."""
-    bits = 64 * SKETCH_WORDS
-    sets = len(ends) - 1
-    slot = (mix64(flat ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(bits)).astype(np.int64)
-    count = np.bincount(np.repeat(np.arange(sets), np.diff(ends)) * bits + slot, minlength=sets * bits)
-    odd = (count & 1).astype(np.uint8).reshape(sets, bits)
-    return np.packbits(odd, axis=1).view(np.int64).reshape(sets, SKETCH_WORDS)
+def sketches(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of all sets, set after set, as 64-bit words, and where each set's begin and end.
+
+    A sketch has as many bits as the set has elements, rounded up to a power of
+    two, 64 * SKETCH_WORDS at least; the halves of a longer one, laid over each
+    other by exclusive or, are the sketch of half the length.
+    """
+    sizes = np.diff(ends)
+    bits = np.maximum(64 * SKETCH_WORDS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    first = np.cumsum(bits) - bits
+    slot = (mix64(flat ^ np.uint64(0xD6E8FEB86659FD93)) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    count = np.bincount(np.repeat(first, sizes) + slot, minlength=int(bits.sum()))
+    words = np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+    return words, np.concatenate([[0], np.cumsum(bits // 64)])
+
+
+def folded(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sketches of SKETCH_WORDS words: sets x words."""
+    short = words.reshape(-1, SKETCH_WORDS)
+    starts = ends[:-1] // SKETCH_WORDS
+    return np.bitwise_xor.reduceat(short, starts, axis=0) if len(starts) else short
+
+
+def _unlike(a: str, b: str):
+    """The bits in which two sketches differ, the longer folded to the length of the shorter."""
+    n = F.least(F.size(a), F.size(b))
+    word = lambda w, i: F.get(w, i).bitwiseXOR(F.coalesce(F.get(w, i + n), F.lit(0).cast("long")))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda t, i: t + F.bit_count(word(a, i).bitwiseXOR(word(b, i))))
 
 
 def _sets_of(docs: DataFrame, n: int, emit, schema: str) -> DataFrame:
@@ -271,17 +299,49 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
+def _presence(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the hashes of ``ids`` (one column), and its bits."""
+    bits = 1 << 13
+    wanted = BITS_EACH * ids.count()
+    while bits < min(wanted, PRESENT_BITS):
+        bits *= 2
+    slot = F.pmod(F.xxhash64(ids.columns[0]), F.lit(bits))
+    one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(one).alias("held")).toPandas()
+    held = np.zeros(bits // 64, np.int64)
+    held[words["word"].to_numpy()] = words["held"].to_numpy()
+    return np.unpackbits(held.view(np.uint8), bitorder="little"), bits
+
+
+def _held(docs: DataFrame, n: int, keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """``key, hashes`` of the classes with these keys, and maybe of others; one row each."""
+    keys = keys.distinct()
+    held, bits = _presence(classes.join(keys, "key").select("first_doc"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
+        for _, texts in blocks(b.filter(pa.array(held[np.asarray(b.column(0))] > 0)) for b in batches):
+            flat, ends = shingler(texts)
+            sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _signed(flat))
+            yield pa.record_batch([_signed(fingerprints(flat, ends)), sets], names=["key", "hashes"])
+
+    slots = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"), "text")
+    return slots.mapInArrow(run, "key long, hashes array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are linked; wide sketches first, then the sets themselves."""
+    wide = lambda side: classes.select(F.col("key").alias(side), F.col("size").alias(f"size_{side}"), F.col("wide").alias(f"wide_{side}"))
+    near = (100 + percent) * _unlike("wide_a", "wide_b") <= (100 - percent) * (F.col("size_a") + F.col("size_b"))
+    pairs = cut(pairs.join(wide("a"), "a").join(wide("b"), "b").where(near).select("a", "b"))
+    release(docs.sparkSession)
+    sets = cut(_held(docs, n, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), classes))
+    release(docs.sparkSession)
     left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
     shared = F.size(F.array_intersect("ha", "hb"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(100 * shared >= percent * (F.size("ha") + F.size("hb") - shared))
-        .select("a", "b")
-    )
+    linked = 100 * shared >= percent * (F.size("ha") + F.size("hb") - shared)
+    return cut(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b"))
 
 
 def _may_link(percent: int):
@@ -304,16 +364,17 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def describe(batch, flat, ends, seen):
-        sketch = sketches(flat, ends)
+        words, bounds = sketches(flat, ends)
+        short = folded(words, bounds)
         columns = [batch.column(0), pa.array(np.diff(ends)), _signed(fingerprints(flat, ends))]
-        columns += [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)]
-        return pa.record_batch(columns, names=["doc_id", "size", "key", *(f"s{i}" for i in range(SKETCH_WORDS))])
+        columns += [pa.array(np.ascontiguousarray(short[:, i])) for i in range(SKETCH_WORDS)]
+        columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(words)))
+        return pa.record_batch(columns, names=["doc_id", "size", "key", *(f"s{i}" for i in range(SKETCH_WORDS)), "wide"])
 
     sketch_columns = ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
-    described = cut(_sets_of(docs, n, describe, f"doc_id long, size long, key long, {sketch_columns}"))
-    classes = described.where("size > 0").groupBy("key").agg(
-        F.min("doc_id").alias("first_doc"), F.first("size").alias("size"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH_WORDS))
-    )
+    described = cut(_sets_of(docs, n, describe, f"doc_id long, size long, key long, {sketch_columns}, wide array<long>"))
+    alike = ["size", *(f"s{i}" for i in range(SKETCH_WORDS)), "wide"]
+    classes = described.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("first_doc"), *(F.first(c).alias(c) for c in alike))
     classes = cut(classes)
 
     def sign(batch, flat, ends, seen):
@@ -344,18 +405,7 @@ def near_duplicates(
     # Round 1: each class against the first of its bucket.
     star = shared.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     star = cut(star.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_may_link(percent)).select("a", "b"))
-    wanted = shared.select("key").distinct().join(classes, "key").select("first_doc")
-
-    def hold(batch, flat, ends, seen):
-        prints = fingerprints(flat, ends)
-        offsets = pa.array(ends.astype(np.int32))
-        return pa.record_batch([_signed(prints), pa.ListArray.from_arrays(offsets, _signed(flat))], names=["key", "hashes"])
-
-    chosen = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_doc"]), "left_semi")
-    sets = _sets_of(chosen, n, hold, "key long, hashes array<long>").dropDuplicates(["key"])
-    sets = cut(sets)
-    release(docs.sparkSession)
-    links = cut(_verified(star, sets, percent))
+    links = _verified(star, docs, n, classes, percent)
     release(docs.sparkSession)
 
     # Round 2: classes that share a bucket and are still apart.
@@ -367,7 +417,7 @@ def near_duplicates(
     )
     mixed = apart.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"))
     apart = apart.join(mixed.where("r0 <> r1").select("bucket", "members"), "bucket")
-    apart = cut(apart.join(classes.drop("first_doc"), "key"))
+    apart = cut(apart.join(classes.drop("first_doc", "wide"), "key"))
     block_count = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = apart.withColumn("block", F.pmod(F.xxhash64("key"), block_count).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), block_count - 1))
@@ -391,7 +441,7 @@ def near_duplicates(
         .distinct()
         .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    more = cut(_verified(cut(pairs), sets, percent))
+    more = _verified(cut(pairs), docs, n, classes, percent)
     roots = components(links.union(more))
 
     firsts = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
