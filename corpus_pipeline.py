@@ -36,7 +36,7 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
     repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeats:
-        kept = kept.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).drop("text_hash")
+        kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
 
 
