@@ -30,6 +30,8 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays.
 
     Rows that repeat an id with the same text count as one document.
+    Rows without an id cannot be told apart by it: all of them stay if one of
+    them is the first of its group.
     """
     found = ngram_join.near_duplicates(docs)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()

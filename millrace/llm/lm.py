@@ -22,7 +22,7 @@ and a frequent word moves one row per block instead of one per document.
 
 Defined results: null text is empty and consists of its end; a table without
 training documents gives counts of 0 and a uniform attention model; equal rows
-are scored alike; null ids are kept; an empty table gives no rows. Other columns
+score alike up to the rounding of float32; null ids are kept; an empty table gives no rows. Other columns
 are not read. Two words with equal 64-bit hashes would share their count.
 """
 
