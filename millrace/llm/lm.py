@@ -2,18 +2,22 @@
 
 The model predicts subword ids of a public tokenizer: embeddings plus window
 positions, one causal self-attention layer, one hidden layer, and an output over
-three codes of FAN values each: two softmax levels, the second gated by the first
-code, and the share of the third code among ids that agree in the first two. It is trained by Adam on the driver on the whole texts of at most
-FIT_DOCS training documents (a documented bound, chosen by hash). A text is
+three codes of FAN values each: three softmax levels, each gated by the codes before
+it. It is trained on all training documents in rounds, each over another slice of
+them: in every round, tasks train the same parameters by Adam on their part of the
+slice, and the means of what they changed, weighted by the steps that touched a row,
+are summed by Spark; only the parameters are on the driver. A small input is passed
+over up to MOST_PASSES times. A text is
 scored in windows of CONTEXT + STRIDE ids that overlap by CONTEXT: each id is
 scored once, in the window where it is one of the last STRIDE, by batched masked
 attention over many windows of many texts at once.
 
 The corpus itself is counted in full: the words of all training documents are
-counted by Spark, and the model's probability of a word interpolates its share
-of the counts with the product of its subwords' attention probabilities. The
-share weighs N / (N + V), N counted words of which V differ: the rate at which a
-word has been seen before. Words never seen rest on the attention alone.
+counted by Spark, and the model's probability of a word interpolates the product
+of its subwords' attention probabilities with its share of the counts. The weight
+of the attention is the likeliest on training documents set aside (one in
+ASIDE_MODULUS, by hash of the text), with counts that leave them out; they are
+trained on in a last round afterwards. Words never seen rest on the attention alone.
 
 Scale: documents are dealt to blocks of about BLOCK_BYTES of text; each block
 sends its distinct words, as 64-bit hashes with counts, to be summed and gets
@@ -21,14 +25,16 @@ the sums of its own words back, so that no table of all words is held anywhere
 and a frequent word moves one row per block instead of one per document.
 
 Defined results: null text is empty and consists of its end; a table without
-training documents gives counts of 0 and a uniform attention model; equal rows
+training documents gives counts of 0 and an untrained attention model; if none is
+set aside, the attention weighs PRIOR_WEIGHT; equal rows
 score alike up to the rounding of float32; null ids are kept; an empty table gives no rows. Other columns
 are not read. Two words with equal 64-bit hashes would share their count.
 """
 
 from __future__ import annotations
 
-from itertools import count
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +43,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.packing import WordIds
-from millrace.llm.textcodes import Codes, crc_remainder, split_words, spread
+from millrace.llm.textcodes import Codes, blocks, crc_remainder, split_words, spread
 from millrace.session import cut
 
 CONTEXT, STRIDE = 8, 16
 DIM, HIDDEN, FAN = 16, 32, 37
-FIT_DOCS = 1000
 EPOCHS, BATCH_WINDOWS, RATE = 3, 128, 1.2e-2
+#: Rounds over the training documents, bytes of text for each training task, and passes over small inputs.
+ROUNDS, TRAIN_BYTES, PASS_BYTES, MOST_PASSES = 8, 16 << 20, 8 << 20, 4
+ASIDE_MODULUS = 20
+PRIOR_WEIGHT, PRIOR_WORDS = 0.9, 10
+RATIO_BINS, RATIO_MOST = 16, 64  # bins for a unit of the log ratio, and its bound
+CHUNK_ROWS = 256
+#: Parameters with a row for each id or code, of which a step touches few.
+ROWED = frozenset({"E", "G2", "b2", "G3", "b3"})
 BLOCK_BYTES = 16 << 20
+MOST_WORDS = 500_000  # distinct words that a training task remembers
 PIECE_BYTES = 1 << 20
 SCORE_WINDOWS = 256
 HELD_MODULUS, HELD_REMAINDER = 7, 2
@@ -73,6 +87,13 @@ def _log_pick(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
     return picked - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
+def _row_sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of ``index``, and the sums of the ``values`` of each."""
+    order = np.argsort(index, kind="stable")
+    rows, starts = np.unique(index[order], return_index=True)
+    return rows, np.add.reduceat(values[order], starts, axis=0)
+
+
 def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows over texts laid end to end: (first scored place, places scored, whether a text's first) of each."""
     per_text = -(-lengths // STRIDE)
@@ -86,7 +107,7 @@ class AttentionModel:
     """Parameters and the three things done with them: train, score, and nothing else."""
 
     def __init__(self, vocabulary: int, counts: np.ndarray, seed: int = 7):
-        """``counts`` of the ids in the training sample order the codes and set the output biases; id ``vocabulary`` is the end."""
+        """``counts`` of the ids in the training documents order the codes and set the output biases; id ``vocabulary`` is the end."""
         rng = np.random.default_rng(seed)
         self.end = vocabulary
         small = lambda *shape: (rng.standard_normal(shape) * 0.3 / np.sqrt(shape[0])).astype(np.float32)
@@ -102,11 +123,11 @@ class AttentionModel:
             "P": small(CONTEXT + STRIDE, DIM),
             "Q": small(DIM, DIM), "K": small(DIM, DIM), "V": small(DIM, DIM), "O": small(DIM, DIM),
             "U": small(DIM, HIDDEN), "u": np.zeros(HIDDEN, np.float32), "D": small(HIDDEN, DIM),
-            "W1": small(DIM, FAN), "W2": small(DIM, FAN),
-            "G2": np.ones((FAN, DIM), np.float32),
-            "b1": bias(mass.sum(axis=(1, 2))), "b2": bias(mass.sum(axis=2)),
+            "W1": small(DIM, FAN), "W2": small(DIM, FAN), "W3": small(DIM, FAN),
+            "G2": np.ones((FAN, DIM), np.float32), "G3": np.ones((FAN**2, DIM), np.float32),
+            "b1": bias(mass.sum(axis=(1, 2))), "b2": bias(mass.sum(axis=2)), "b3": bias(mass).reshape(FAN**2, FAN),
         }
-        self.third = bias(mass)[tuple(self.codes.T)]  # log share of each id's third code
+        self.step, self.m1, self.m2 = 0, {}, {}
         offset = np.arange(CONTEXT + STRIDE)
         self.causal = np.where(offset[None, :] <= CONTEXT + np.arange(STRIDE)[:, None], 0, -1e9).astype(np.float32)
 
@@ -146,7 +167,7 @@ class AttentionModel:
         p = self.p
         ask, say = p["Q"] @ p["K"].T * np.float32(DIM**-0.5), p["V"] @ p["O"]
         ones = np.ones((CONTEXT + STRIDE, 1), np.float32)
-        first_code, second_code = np.ascontiguousarray(self.codes[:, 0]), np.ascontiguousarray(self.codes[:, 1])
+        first_code, second_code, third_code = np.ascontiguousarray(self.codes.T)
         for at in range(0, len(starts), SCORE_WINDOWS):
             start, size = starts[at : at + SCORE_WINDOWS], sizes[at : at + SCORE_WINDOWS]
             inputs, mask = self._gather(ids, start, firsts[at : at + SCORE_WINDOWS])
@@ -176,27 +197,40 @@ class AttentionModel:
             z = (h * p["G2"][c1]) @ p["W2"]
             z += p["b2"][c1]
             logs += _log_pick(z, c2)
-            out[place] = logs + self.third[target]
+            c12 = c1 * FAN + c2
+            z = (h * p["G3"][c12]) @ p["W3"]
+            z += p["b3"][c12]
+            logs += _log_pick(z, third_code[target])
+            out[place] = logs
         return out
 
     def train(self, ids: np.ndarray, lengths: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> None:
         """Adam on the cross-entropy of all windows, in a fixed shuffled order."""
+        for epoch in range(epochs):
+            self.learn(ids, lengths, RATE * (1 - epoch / epochs), seed + epoch)
+
+    def learn(self, ids: np.ndarray, lengths: np.ndarray, rate: float, seed: int = 11, touched: dict | None = None) -> None:
+        """One pass of Adam over all windows; rows of ROWED parameters move when a step touches them.
+
+        ``touched`` counts the steps that touched each row.
+        """
         starts, sizes, firsts = windows_of(lengths)
-        rng = np.random.default_rng(seed)
-        m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        steps, total = count(1), epochs * -(-len(starts) // BATCH_WINDOWS)
-        for _ in range(epochs):
-            order = rng.permutation(len(starts))
-            for at in range(0, len(order), BATCH_WINDOWS):
-                w = order[at : at + BATCH_WINDOWS]
-                grads = self._gradients(ids, starts[w], sizes[w], firsts[w])
-                step = next(steps)
-                rate = RATE * (1 - step / (total + 1)) / (1 - 0.9**step) * np.sqrt(1 - 0.99**step)
-                for k, g in grads.items():
-                    m1[k] += 0.1 * (g - m1[k])
-                    m2[k] += 0.01 * (g * g - m2[k])
-                    self.p[k] -= (rate * m1[k] / (np.sqrt(m2[k]) + 1e-8)).astype(np.float32)
+        order = np.random.default_rng(seed).permutation(len(starts))
+        for k, v in self.p.items():
+            self.m1.setdefault(k, np.zeros_like(v))
+            self.m2.setdefault(k, np.zeros_like(v))
+        for at in range(0, len(order), BATCH_WINDOWS):
+            w = order[at : at + BATCH_WINDOWS]
+            self.step += 1
+            now = np.float32(rate / (1 - 0.9**self.step) * np.sqrt(1 - 0.99**self.step))
+            for k, g in self._gradients(ids, starts[w], sizes[w], firsts[w]).items():
+                rows, g = g if k in ROWED else (slice(None), g)
+                one = self.m1[k][rows] * np.float32(0.9) + np.float32(0.1) * g
+                two = self.m2[k][rows] * np.float32(0.99) + np.float32(0.01) * g * g
+                self.m1[k][rows], self.m2[k][rows] = one, two
+                self.p[k][rows] -= now * one / (np.sqrt(two) + np.float32(1e-8))
+                if touched is not None:
+                    touched[k][rows if k in ROWED else 0] += 1
 
     def _gradients(self, ids, start, size, first) -> dict:
         p = self.p
@@ -208,7 +242,7 @@ class AttentionModel:
         hs, rows, n = top[scored], np.arange(len(place)), np.float32(len(place))
         g = {}
         dhs = np.zeros_like(hs)
-        for level, gate, index in ((1, None, None), (2, "G2", code[:, 0])):
+        for level, gate, index in ((1, None, None), (2, "G2", code[:, 0]), (3, "G3", code[:, 0] * FAN + code[:, 1])):
             w, b = p[f"W{level}"], p[f"b{level}"]
             seen = hs if gate is None else hs * p[gate][index]
             d = _softmax(seen @ w + (b if index is None else b[index]))
@@ -220,9 +254,8 @@ class AttentionModel:
                 g["b1"] = d.sum(axis=0)
                 dhs += back
             else:
-                g[f"b{level}"], g[gate] = np.zeros_like(b), np.zeros_like(p[gate])
-                np.add.at(g[f"b{level}"], index, d)
-                np.add.at(g[gate], index, back * hs)
+                rows_of, sums = _row_sums(index, np.hstack([d, back * hs]))
+                g[f"b{level}"], g[gate] = (rows_of, sums[:, :FAN]), (rows_of, sums[:, FAN:])
                 dhs += back * p[gate][index]
         dtop = np.zeros_like(top)
         dtop[scored] = dhs
@@ -240,28 +273,76 @@ class AttentionModel:
         dx = dk @ p["K"].T + dv @ p["V"].T
         dx[:, CONTEXT:] += dh + dq @ p["Q"].T
         g["P"] = dx.sum(axis=0)
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], inputs.reshape(-1), flat(dx))
+        g["E"] = _row_sums(inputs.reshape(-1), flat(dx))
         return g
 
 
-def _ids_of(word_ids: WordIds, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+def _ids_of(words: "_Words", texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts with the end id after each, and the ids per text."""
-    ids, per_text, _ = word_ids(texts)
-    return np.insert(ids.astype(np.int64), np.cumsum(per_text), end), per_text + 1
+    codes, ends = words([t.lower() for t in texts])
+    ids, per_word = words.ids_of(codes) if len(codes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    upto = np.concatenate([[0], np.cumsum(per_word)])[ends]
+    return np.insert(ids, upto[1:], end), np.diff(upto) + 1
+
+
+_CHANGES = "param string, chunk int, rows binary, weights binary, sums binary"
+
+
+def _trained(model: AttentionModel, tokenizer_path: str, rate: float):
+    """A function that trains ``model`` on a task's texts: (parameter, chunk of rows, weights, weighted changes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = {k: v.copy() for k, v in model.p.items()}
+        touched = {k: np.zeros(len(v) if k in ROWED else 1, np.float32) for k, v in before.items()}
+        words = _Words(WordIds.of(tokenizer_path))
+        for _, texts in blocks(batches):
+            if len(words.hashes) > MOST_WORDS:
+                words = _Words(words.word_ids)
+            model.learn(*_ids_of(words, texts, model.end), rate, touched=touched)
+        out = []
+        for k, weights in touched.items():
+            rows = np.flatnonzero(weights)
+            change = (model.p[k] - before[k]).reshape(len(weights), -1)
+            for part in np.split(rows, np.flatnonzero(np.diff(rows // CHUNK_ROWS)) + 1) if len(rows) else []:
+                own = weights[part]
+                out.append((k, int(part[0] // CHUNK_ROWS), part.astype(np.int32), own, change[part] * own[:, None]))
+        columns = list(zip(*out)) or [()] * 5
+        raw = [pa.array([x.tobytes() for x in c], pa.binary()) for c in columns[2:]]
+        yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), *raw], names=["param", "chunk", "rows", "weights", "sums"])
+
+    return run
 
 
-def fit(docs: DataFrame, tokenizer_path: str, fit_docs: int = FIT_DOCS) -> AttentionModel:
-    """A model trained on at most ``fit_docs`` rows of ``docs`` (doc_id, text), chosen by hash."""
-    chosen = docs.where("text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(fit_docs)
-    texts = [row.text.encode() for row in chosen.select("text").collect()]
-    word_ids = WordIds(tokenizer_path)
-    vocabulary = word_ids.tokenizer.get_vocab_size()
-    ids, lengths = _ids_of(word_ids, texts, vocabulary)
-    model = AttentionModel(vocabulary, np.bincount(ids, minlength=vocabulary + 1) if len(ids) else np.zeros(vocabulary + 1))
-    if len(ids):
-        model.train(ids, lengths)
-    return model
+def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All tasks' changes of a chunk in one row."""
+    weights = sums = None
+    at = key[1].as_py() * CHUNK_ROWS
+    for batch in batches:
+        for r, w, x in zip(*(batch.column(c).to_pylist() for c in ("rows", "weights", "sums"))):
+            rows, w = np.frombuffer(r, np.int32) - at, np.frombuffer(w, np.float32)
+            x = np.frombuffer(x, np.float32).reshape(len(rows), -1)
+            if sums is None:
+                weights, sums = np.zeros(CHUNK_ROWS), np.zeros((CHUNK_ROWS, x.shape[1]))
+            weights[rows] += w
+            sums[rows] += x
+    rows = np.flatnonzero(weights)
+    raw = [pa.array([v.tobytes()], pa.binary()) for v in ((rows + at).astype(np.int32), weights[rows].astype(np.float32), sums[rows].astype(np.float32))]
+    yield pa.record_batch([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), *raw], names=["param", "chunk", "rows", "weights", "sums"])
+
+
+def train_round(model: AttentionModel, docs: DataFrame, tokenizer_path: str, rate: float, tasks: int) -> int:
+    """Trains ``model`` on all texts of ``docs`` in at most ``tasks`` tasks; returns the steps taken by all."""
+    changes = docs.select("text").coalesce(tasks).mapInArrow(_trained(model, tokenizer_path, rate), _CHANGES)
+    steps = 0
+    for row in changes.groupBy("param", "chunk").applyInArrow(_summed, _CHANGES).collect():
+        rows, weights = np.frombuffer(row["rows"], np.int32), np.frombuffer(row["weights"], np.float32)
+        sums = np.frombuffer(row["sums"], np.float32).reshape(len(rows), -1) / weights[:, None]
+        if row["param"] in ROWED:
+            model.p[row["param"]][rows] += sums
+        else:
+            model.p[row["param"]] += sums.reshape(model.p[row["param"]].shape)
+            steps = int(weights[0])
+    return steps
 
 
 class _Words:
@@ -305,19 +386,114 @@ def _texts(table: pa.Table) -> list[bytes]:
     return table.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
 
 
-def _count_block(table: pa.Table) -> pa.Table:
-    """(block, word hash, count in training documents) of each distinct word of a block."""
-    train = np.asarray(table.column("train"))
-    words, total = _Words(), np.zeros(0, np.int64)
-    texts = _texts(table)
+_COUNTS = "block long, word long, n long, aside long, id int"
+
+
+def _count_block(tokenizer_path: str):
+    """A function that counts a block: its distinct words (hash, training documents, those set aside), and the ids of its training documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        train, aside = np.asarray(table.column("train")), np.asarray(table.column("aside"))
+        words = _Words(WordIds.of(tokenizer_path))
+        total, apart = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        texts = _texts(table)
+        for a, b in _pieces(texts):
+            codes, ends = words([t.lower() for t in texts[a:b]])
+            sums = []
+            for kind, before in ((train, total), (aside, apart)):
+                counted = np.bincount(codes[np.repeat(kind[a:b], np.diff(ends))], minlength=len(words.hashes))
+                counted[: len(before)] += before
+                sums.append(counted)
+            total, apart = sums
+        of_ids = np.bincount(words.ids, np.repeat(total, words.counts)).astype(np.int64) if len(words.ids) else np.zeros(0, np.int64)
+        ids = np.flatnonzero(of_ids)
+        hashes, total, apart = np.append(words.hashes, END_HASH), np.append(total, train.sum()), np.append(apart, aside.sum())
+        n = len(hashes)
+        columns = {
+            "block": pa.array(np.full(n + len(ids), table.column("block")[0].as_py()), pa.int64()),
+            "word": pa.array(np.append(hashes, np.zeros(len(ids), np.int64))),
+            "n": pa.array(np.append(total, of_ids[ids]).astype(np.int64)),
+            "aside": pa.array(np.append(apart, np.zeros(len(ids), np.int64)).astype(np.int64)),
+            "id": pa.array(np.append(np.zeros(n, np.int32), ids).astype(np.int32), mask=np.arange(n + len(ids)) < n),
+        }
+        return pa.table(columns)
+
+    return run
+
+
+SCHEMA = (
+    "doc_id long, held_out boolean, n_tokens long, n_known long, base_logs double, score double, attention_score double"
+)
+
+
+def _words_of_block(model, tokenizer_path: str, docs: pa.Table, counts: pa.Table, column: str):
+    """For each piece of a block: (begin, end, count and attention log probability of each word, the text of each)."""
+    order = np.argsort(np.asarray(counts.column("word")))
+    known, known_n = np.asarray(counts.column("word"))[order], np.asarray(counts.column(column))[order]
+    texts, words = _texts(docs), _Words(WordIds.of(tokenizer_path))
+    count_of = np.zeros(0, np.int64)
+    end_count = int(known_n[np.searchsorted(known, END_HASH)]) if len(known) else 0
     for a, b in _pieces(texts):
         codes, ends = words([t.lower() for t in texts[a:b]])
-        counted = np.bincount(codes[np.repeat(train[a:b], np.diff(ends))], minlength=len(words.hashes))
-        counted[: len(total)] += total
-        total = counted
-    hashes, total = np.append(words.hashes, END_HASH), np.append(total, train.sum())
-    block = np.full(len(hashes), table.column("block")[0].as_py())
-    return pa.table([pa.array(block, pa.int64()), pa.array(hashes), pa.array(total.astype(np.int64))], names=["block", "word", "n"])
+        fresh = words.hashes[len(count_of) :]
+        count_of = np.concatenate([count_of, known_n[np.searchsorted(known, fresh)]]) if len(fresh) else count_of
+        c = np.insert(count_of[codes], ends[1:], end_count)
+        text_of = np.repeat(np.arange(b - a), np.diff(ends) + 1)
+        ids, per_word = words.ids_of(codes) if len(codes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        per_word = np.insert(per_word, ends[1:], 1)
+        ids = np.insert(ids, np.cumsum(per_word)[ends[1:] + np.arange(b - a)] - np.arange(1, b - a + 1), model.end)
+        logs = model.score(ids, np.bincount(text_of, per_word, minlength=b - a).astype(np.int64))
+        attention = np.bincount(np.repeat(np.arange(len(c)), per_word), logs, minlength=len(c))
+        attention[per_word == 0] = -np.log(FAN**3)  # a word the tokenizer drops
+        yield a, b, c, attention, text_of
+
+
+def _log_share(c: np.ndarray, n_train: int) -> np.ndarray:
+    """Log of each word's share of the counts; -inf for words not counted."""
+    with np.errstate(divide="ignore"):
+        return np.log(c / max(1, n_train))
+
+
+def _ratio_block(model, tokenizer_path: str, n_rest: int, distinct: int):
+    """A function for the documents set aside of a block: how often each binned log ratio of the shares comes, and sums.
+
+    The sums: words, log likelihood of the attention, and of add-one counts, under bins out of reach.
+    """
+
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        bins, sums = np.zeros(2 * RATIO_MOST * RATIO_BINS + 1), np.zeros(3)
+        for _, _, c, attention, _ in _words_of_block(model, tokenizer_path, docs, counts, "rest"):
+            ratio = np.clip(_log_share(c, n_rest) - attention, -RATIO_MOST, RATIO_MOST)
+            bins += np.bincount(np.rint((ratio + RATIO_MOST) * RATIO_BINS).astype(np.int64), minlength=len(bins))
+            sums += len(c), attention.sum(), np.log((c + 1) / (n_rest + distinct + 1)).sum()
+        some = np.flatnonzero(bins)
+        return pa.table({"bin": pa.array(np.append(some, -1 - np.arange(3))), "n": pa.array(np.append(bins[some], sums))})
+
+    return run
+
+
+class Mix(NamedTuple):
+    """The attention's weight, and what the documents set aside say (nats a word)."""
+
+    weight: float
+    words: int
+    mixed: float
+    attention: float
+    counts: float
+
+
+def likeliest(bins: dict[int, float]) -> Mix:
+    """The likeliest weight of the attention, by expectation-maximisation over binned log ratios."""
+    sums = [bins.get(-1 - i, 0.0) for i in range(3)]
+    of = sorted(b for b in bins if b >= 0)
+    n, ratio = np.array([bins[b] for b in of]), np.exp(np.array(of, float) / RATIO_BINS - RATIO_MOST)
+    weight = PRIOR_WEIGHT
+    for _ in range(500):
+        own = (n * weight / (weight + (1 - weight) * ratio)).sum() + PRIOR_WEIGHT * PRIOR_WORDS
+        weight = float(own / (n.sum() + PRIOR_WORDS))
+    words = max(1.0, sums[0])
+    gain = float((n * np.log(weight + (1 - weight) * ratio)).sum())
+    return Mix(weight, int(sums[0]), (sums[1] + gain) / words, sums[1] / words, sums[2] / words)
 
 
 SCHEMA = (
@@ -329,31 +505,11 @@ def _score_block(model, tokenizer_path: str, n_train: int, weight: float):
     """A function that scores the documents of a block with the counts of its words."""
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(counts.column("word")))
-        known, known_n = np.asarray(counts.column("word"))[order], np.asarray(counts.column("total"))[order]
-        texts, words = _texts(docs), _Words(WordIds.of(tokenizer_path))
-        count_of = np.zeros(0, np.int64)
-        out = [np.zeros(len(texts)) for _ in range(5)]
-        end_count = int(known_n[np.searchsorted(known, END_HASH)]) if len(known) else 0
-        share = lambda c: weight * c / n_train if n_train else np.zeros(np.shape(c))
-        rest = 1 - weight if n_train else 1.0
-        for a, b in _pieces(texts):
-            lowered = [t.lower() for t in texts[a:b]]
-            codes, ends = words(lowered)
-            fresh = words.hashes[len(count_of) :]
-            count_of = np.concatenate([count_of, known_n[np.searchsorted(known, fresh)]]) if len(fresh) else count_of
-            c = np.insert(count_of[codes], ends[1:], end_count)
-            text_of = np.repeat(np.arange(b - a), np.diff(ends) + 1)
-            sums = lambda w, n=b - a, t=text_of: np.bincount(t, w, minlength=n)
-            ids, per_word = words.ids_of(codes) if len(codes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            per_word = np.insert(per_word, ends[1:], 1)
-            ids = np.insert(ids, np.cumsum(per_word)[ends[1:] + np.arange(b - a)] - np.arange(1, b - a + 1), model.end)
-            logs = model.score(ids, np.bincount(text_of, per_word, minlength=b - a).astype(np.int64))
-            attention = np.bincount(np.repeat(np.arange(len(c)), per_word), logs, minlength=len(c))
-            attention[per_word == 0] = -np.log(FAN**3)  # a word the tokenizer drops
-            mixed = np.logaddexp(attention + np.log(rest), np.log(np.maximum(share(c), 1e-300))) if n_train else attention
-            for k, v in enumerate((sums(np.ones(len(c))), sums(c > 0), sums(np.log10(c + 1.0)), sums(mixed) / _LN10, sums(attention) / _LN10)):
-                out[k][a:b] = v
+        out = [np.zeros(docs.num_rows) for _ in range(5)]
+        for a, b, c, attention, text_of in _words_of_block(model, tokenizer_path, docs, counts, "total"):
+            mixed = np.logaddexp(attention + np.log(weight), _log_share(c, n_train) + np.log1p(-weight)) if n_train else attention
+            for k, v in enumerate((np.ones(len(c)), c > 0, np.log10(c + 1.0), mixed / _LN10, attention / _LN10)):
+                out[k][a:b] = np.bincount(text_of, v, minlength=b - a)
         columns = [docs.column("doc_id"), pa.array(~np.asarray(docs.column("train")))]
         columns += [pa.array(out[k].astype(np.int64)) for k in range(2)] + [pa.array(out[k]) for k in range(2, 5)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_logs", "score", "attention_score"])
@@ -361,12 +517,71 @@ def _score_block(model, tokenizer_path: str, n_train: int, weight: float):
     return run
 
 
+class Fitted(NamedTuple):
+    """What ``score`` needs besides the documents, dealt to blocks, with the counts of each block's words."""
+
+    model: AttentionModel
+    mix: Mix
+    steps: int
+    n_train: int
+    distinct: int
+    n_blocks: int
+    dealt: DataFrame
+    own: DataFrame
+
+
+def fit(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, train_bytes: int = TRAIN_BYTES) -> Fitted:
+    """Counts, the attention model and its weight, from all training documents of ``docs`` (doc_id, text, train)."""
+    piece = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(ASIDE_MODULUS * ROUNDS))
+    aside = F.col("train") & (piece % ASIDE_MODULUS == 0)
+    docs = docs.withColumn("aside", aside).withColumn("slice", F.floor(piece / ASIDE_MODULUS))
+    size = F.octet_length("text")
+    volume, learned = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("train"), size)), F.lit(0))).first()
+    n_blocks = int(volume // block_bytes) + 1
+
+    block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)).alias("block")
+    dealt = docs.select("doc_id", "text", "train", "aside", block).repartition(n_blocks, "block")
+    counts = cut(dealt.groupBy("block").applyInArrow(_count_block(tokenizer_path), _COUNTS))
+    of_words = counts.where("id IS NULL")
+    totals = of_words.groupBy("word").agg(F.sum("n").alias("total"), F.sum("aside").alias("aside"))
+    n_train, distinct, n_aside, rest = totals.agg(
+        F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1)), F.coalesce(F.sum("aside"), F.lit(0)), F.count(F.when(F.col("total") > F.col("aside"), 1))
+    ).first()
+    vocabulary = WordIds.of(tokenizer_path).tokenizer.get_vocab_size()
+    of_ids = np.zeros(vocabulary + 1)
+    for row in counts.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        of_ids[row["id"]] = row["n"]
+    of_ids[vocabulary] = docs.where("train").count()
+
+    model, steps = AttentionModel(vocabulary, of_ids), 0
+    known = docs.where("train AND text IS NOT NULL")
+    passes = int(np.clip(-(-PASS_BYTES // max(1, learned)), 1, MOST_PASSES))
+    tasks = int(learned // train_bytes) + 1
+    slices = ROUNDS if tasks > 1 else 1  # one task alone needs no means
+    rounds = passes * slices
+    if learned:
+        for number in range(rounds):
+            part = known.where(~F.col("aside") & (F.col("slice") % slices == number % slices))
+            steps += train_round(model, part, tokenizer_path, RATE * (1 - number / (rounds + 1)), tasks)
+
+    sums = Window.partitionBy("word")
+    own = of_words.select("block", "word", F.sum("n").over(sums).alias("total"), F.sum("aside").over(sums).alias("aside"))
+    own = cut(own.select("block", "word", "total", (F.col("total") - F.col("aside")).alias("rest")).repartition(n_blocks, "block"))
+    mix = likeliest({})
+    if n_aside:
+        apart = dealt.where("aside")
+        here = own.join(F.broadcast(apart.select("block").distinct()), "block", "left_semi")
+        ratios = apart.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_ratio_block(model, tokenizer_path, n_train - n_aside, rest), "bin long, n double")
+        mix = likeliest({row["bin"]: row["n"] for row in ratios.groupBy("bin").agg(F.sum("n").alias("n")).collect()})
+        steps += train_round(model, known.where("aside"), tokenizer_path, RATE / (rounds + 1), tasks)
+    return Fitted(model, mix, steps, n_train, distinct, n_blocks, dealt, own)
+
+
 def score(
     docs: DataFrame,
     tokenizer_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    fit_docs: int = FIT_DOCS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Counts, base score and model score of every document; see SCHEMA and the module's notes."""
@@ -375,20 +590,11 @@ def score(
         F.col(text_col).alias("text"),
         (crc_remainder(id_col, HELD_MODULUS) != HELD_REMAINDER).alias("train"),
     )
-    volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = int(volume // block_bytes) + 1
-    model = fit(docs.where("train").select("doc_id", "text"), tokenizer_path, fit_docs)
-
-    block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)).alias("block")
-    dealt = docs.select("*", block).repartition(n_blocks, "block")
-    counts = cut(dealt.groupBy("block").applyInArrow(_count_block, "block long, word long, n long"))
-    totals = counts.groupBy("word").agg(F.sum("n").alias("total"))
-    n_train, distinct = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
-
-    own = counts.withColumn("total", F.sum("n").over(Window.partitionBy("word"))).select("block", "word", "total")
-    run = _score_block(model, tokenizer_path, n_train, n_train / max(1, n_train + distinct))
-    scored = dealt.groupBy("block").cogroup(own.repartition(n_blocks, "block").groupBy("block")).applyInArrow(run, SCHEMA)
-    base = F.col("base_logs") - F.col("n_tokens") * F.lit(float(np.log10(n_train + distinct + 1)))
+    found = fit(docs, tokenizer_path, block_bytes)
+    run = _score_block(found.model, tokenizer_path, found.n_train, 1 - found.n_train / max(1, found.n_train + found.distinct))
+    own = found.own.repartition(found.n_blocks, "block")
+    scored = found.dealt.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, SCHEMA)
+    base = F.col("base_logs") - F.col("n_tokens") * F.lit(float(np.log10(found.n_train + found.distinct + 1)))
     return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "attention_score"
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(found.n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "attention_score"
     )
