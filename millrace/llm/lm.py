@@ -591,7 +591,7 @@ def score(
         (crc_remainder(id_col, HELD_MODULUS) != HELD_REMAINDER).alias("train"),
     )
     found = fit(docs, tokenizer_path, block_bytes)
-    run = _score_block(found.model, tokenizer_path, found.n_train, 1 - found.n_train / max(1, found.n_train + found.distinct))
+    run = _score_block(found.model, tokenizer_path, found.n_train, found.mix.weight)
     own = found.own.repartition(found.n_blocks, "block")
     scored = found.dealt.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, SCHEMA)
     base = F.col("base_logs") - F.col("n_tokens") * F.lit(float(np.log10(found.n_train + found.distinct + 1)))
