@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for what has no pattern.
 
-Candidates are runs of encoding characters with letters and digits. For each the
-smallest encoding that holds all its characters is inferred, and three tests
+Candidates are runs of encoding characters with letters and digits, apart from them
+runs of letters alone, and the parts of both between the separators that are foreign
+to an encoding (a path around a token, say). For each the smallest encoding that holds
+all its characters is inferred, and three tests
 compare it with a uniform source over that alphabet: chi-squared of the
 character counts, runs above and below the middle, and serial correlation at lag
 1. Their p-values are combined by Fisher's method; a candidate that is unlikely
@@ -9,7 +11,9 @@ to be random is dropped. What remains could still be text too short to tell, so
 a second p-value asks how likely text of that length would look so uniform (a
 non-central chi-squared, whose excess grows with the length). False discoveries
 are controlled over all candidates of the document by the Benjamini-Hochberg
-rule with weights in proportion to length.
+rule with weights in proportion to length, for each of the three kinds apart, so that
+long words do not hide a token. Discoveries that overlap are one; of one that touches
+a fixed pattern the rest outside it is kept.
 
 Everything happens where the text is read; nothing is shuffled. Offsets are code
 points, ends exclusive.
@@ -41,6 +45,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Parts of a candidate that one encoding holds whatever surrounds them.
+PARTS = tuple(re.compile(f"[A-Za-z0-9{own}]{{16,}}={{0,2}}") for own in ("+/", "_-", ""))
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 RANDOM_LEAST_P = 0.001
 DISCOVERY_RATE = 0.005
@@ -48,9 +54,12 @@ DISCOVERY_RATE = 0.005
 ENCODINGS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "upper26": string.ascii_uppercase,
     "base32": string.ascii_uppercase + "234567",
+    "lower26": string.ascii_lowercase,
     "lower36": string.digits + string.ascii_lowercase,
     "upper36": string.digits + string.ascii_uppercase,
+    "letters52": string.ascii_letters,
     "base62": string.digits + string.ascii_letters,
     "base64": string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/",
     "base64url": string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_",
@@ -72,7 +81,7 @@ def _text_excess(alphabet: str) -> float:
     letters = sum(share.values())
     digits = [c for c in alphabet if c.isdigit()]
     for c in share:
-        share[c] = 0.9 * share[c] / letters if not c.isdigit() else 0.1 / len(digits)
+        share[c] = (0.9 if digits else 1.0) * share[c] / letters if not c.isdigit() else 0.1 / len(digits)
     k = len(alphabet)
     return sum((p - 1 / k) ** 2 * k for p in share.values())
 
@@ -151,18 +160,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of candidates that the battery finds random, apart from those in ``taken``."""
-    tests, places = [], []
+    """(start, kind, end) of what the battery finds random, without what ``taken`` covers."""
+    families = [], [], []  # whole candidates, their parts, letters alone
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if not (_DIGIT.search(token) and _LETTER.search(token)):
-            continue
-        result = battery(token)
-        if result:
-            tests.append((len(token), result[1] if result[0] >= RANDOM_LEAST_P else 1.0))
-            places.append((m.start(), m.end()))
-    kept = [places[i] for i in sorted(discoveries(tests))]
-    return [(a, 3, b) for a, b in kept if not any(a < end and start < b for start, _, end in taken)]
+        whole = m.span()
+        parts = {(whole[0] + x.start(), whole[0] + x.end()) for own in PARTS for x in own.finditer(m[0])} - {whole}
+        for place in [whole, *sorted(parts)]:
+            token = text[slice(*place)]
+            if _LETTER.search(token):
+                families[2 if not _DIGIT.search(token) else int(place != whole)].append(place)
+    kept = []
+    for places in families:
+        tests, tested = [], []
+        for a, b in places:
+            result = battery(text[a:b])
+            if result:
+                tests.append((b - a, result[1] if result[0] >= RANDOM_LEAST_P else 1.0))
+                tested.append((a, b))
+        kept += [tested[i] for i in discoveries(tests)]
+    return [(a, 3, b) for a, b in _outside(kept, taken) if any(map(str.isalnum, text[a:b]))]
+
+
+def _outside(places: list[tuple[int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The union of ``places`` without ``taken``, as runs that do not overlap."""
+    union: list[list[int]] = []
+    for a, b in sorted(places):
+        if union and a < union[-1][1]:
+            union[-1][1] = max(union[-1][1], b)
+        else:
+            union.append([a, b])
+    out = []
+    for a, b in union:
+        for start, _, end in sorted(taken):
+            if start < b and a < end:
+                if a < start:
+                    out.append((a, start))
+                a = max(a, end)
+        if a < b:
+            out.append((a, b))
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
