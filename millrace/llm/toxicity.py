@@ -14,7 +14,9 @@ once per task, with a bounded memory. A sentence is described by its largest
 kernel with each landmark (values under FLOOR count as 0), mapped by the inverse
 root of the landmarks' own kernel matrix. The machine is trained on sentences of
 labelled documents, of a toxic document those that the machine so far finds
-toxic (multiple instances), and on telling words with a letter put in, on at most FIT_DOCS labelled rows chosen by hash. A
+toxic (multiple instances), and on telling words with a letter put in, on at most FIT_DOCS labelled rows chosen by hash.
+Landmarks are at most TELLING telling words.
+Letters of every script have codes; words of fewer than three letters have no subsequence, and text without spaces no words. A
 document's score is that of its most toxic sentence, as a probability.
 
 Defined results: null and empty texts score as a sentence without any likeness;
@@ -46,14 +48,14 @@ ROUNDS, RIDGE = 4, 1e-6
 SPACED_LEAST = 4
 MEMORY = 500_000
 HELD_MODULUS = 5
-_LETTERS = 32
+_LETTERS = 64
 #: Signs and digits that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "|": "l"}
 _CODE = np.full(0x110000, 0, np.uint8)  # 0: not a letter
-for _c in range(0x250):
+for _c in range(0x110000):
     if chr(_c).isalpha():
         _low = chr(_c).lower()[0]
-        _CODE[_c] = ord(_low) - 96 if "a" <= _low <= "z" else 27 + ord(_low) % 5
+        _CODE[_c] = ord(_low) - 96 if "a" <= _low <= "z" else 27 + ord(_low) % 5 if _c < 0x250 else 32 + ord(_low) % 32
 for _sign, _letter in LOOKALIKES.items():
     _CODE[ord(_sign)] = ord(_letter) - 96
 _EDGE = b".,;:!?\"'()[]{}*%&#$~-_<>|/\\"
@@ -93,19 +95,20 @@ def merged(word: np.ndarray, key: np.ndarray, weight: np.ndarray) -> tuple[np.nd
 
 @dataclass
 class Landmarks:
-    """The table of normalised landmark vectors: subsequences x landmarks."""
+    """The table of normalised landmark vectors: subsequences that any of them has x landmarks."""
 
     table: np.ndarray
-
-    def __post_init__(self):
-        self.used = self.table.any(axis=1)
+    row_of: np.ndarray  # the table's row of each subsequence, -1 for none
 
     @classmethod
     def of(cls, words: list[bytes]) -> "Landmarks":
         word, key, weight = merged(*subsequences(*letters_of(words)))
-        table = np.zeros((_LETTERS**3, len(words)), np.float32)
-        table[key, word] = weight
-        return cls(table / np.maximum(np.sqrt((table**2).sum(axis=0)), 1e-12))
+        used, row = np.unique(key, return_inverse=True)
+        table = np.zeros((len(used), len(words)), np.float32)
+        table[row, word] = weight
+        row_of = np.full(_LETTERS**3, -1, np.int32)
+        row_of[used] = np.arange(len(used))
+        return cls(table / np.maximum(np.sqrt((table**2).sum(axis=0)), 1e-12), row_of)
 
     def kernel(self, words: list[bytes], floor: float = 0.0) -> np.ndarray:
         """Words x landmarks; values under ``floor`` are 0.
@@ -116,13 +119,13 @@ class Landmarks:
         n = len(words)
         out = np.zeros((n, self.table.shape[1]), np.float32)
         word, key, weight = subsequences(*letters_of(words))
-        at = np.flatnonzero(self.used[key])
+        at = np.flatnonzero(self.row_of[key] >= 0)
         order = at[np.argsort(word[at], kind="stable")]
         if not len(order):
             return out
         own = word[order]
         starts = np.flatnonzero(np.diff(own, prepend=-1))
-        sums = np.add.reduceat(self.table[key[order]] * weight[order, None], starts, axis=0)
+        sums = np.add.reduceat(self.table[self.row_of[key[order]]] * weight[order, None], starts, axis=0)
         least = np.sqrt(np.bincount(word, weight * weight, minlength=n))[own[starts]]
         maybe = sums.max(axis=1) >= floor * least
         rows = own[starts][maybe]
@@ -256,9 +259,10 @@ def _telling_words(texts: list[bytes], y: np.ndarray) -> list[bytes]:
     """Unlike words whose presence tells toxic documents most."""
     seen = {1: Counter(), -1: Counter()}
     for text, label in zip(texts, y.tolist()):
-        seen[label].update({w.strip(_EDGE).lower() for w in text.split()})
+        seen[label].update({w.strip(_EDGE).decode(errors="replace").lower().encode() for w in text.split()})
     n1, n0 = max(1, int((y > 0).sum())), max(1, int((y < 0).sum()))
-    able = [w for w, c in seen[1].items() if len(w) >= 4 and c >= 4 and c * n0 >= TELLING_ODDS * seen[-1][w] * n1]
+    able = [w for w, c in seen[1].items() if c >= 4 and c * n0 >= TELLING_ODDS * seen[-1][w] * n1]
+    able = [w for w, n in zip(able, letters_of(able)[1].tolist()) if n >= 3]
     ranked = sorted(able, key=lambda w: (-seen[1][w] / np.sqrt(seen[1][w] + seen[-1][w]), w))[:CANDIDATES]
     telling: list[int] = []
     alike = Landmarks.of(ranked).kernel(ranked) if ranked else np.zeros((0, 0))
@@ -270,7 +274,8 @@ def _telling_words(texts: list[bytes], y: np.ndarray) -> list[bytes]:
 
 def inserted(word: bytes) -> list[bytes]:
     """The word with a letter put in at each inner place."""
-    return [word[:i] + bytes([97 + (7 * i + len(word)) % 26]) + word[i:] for i in range(1, len(word))]
+    text = word.decode(errors="replace")
+    return [(text[:i] + chr(97 + (7 * i + len(text)) % 26) + text[i:]).encode() for i in range(1, len(text))]
 
 
 def train(texts: list[bytes], labels: np.ndarray) -> Machine:
@@ -278,7 +283,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> Machine:
     y = np.where(labels > 0, 1, -1)
     words = _telling_words(texts, y) if len(y) and abs(y.sum()) < len(y) else []
     if not words:
-        empty = Landmarks(np.zeros((_LETTERS**3, 1), np.float32))
+        empty = Landmarks.of([b""])
         return Machine(empty, np.eye(1), np.zeros(1), 0.0, (1.0, 0.0), constant=0.0)
     landmarks = Landmarks.of(words)
     gram = landmarks.kernel(words).astype(float)
