@@ -36,7 +36,6 @@ SLOT_BITS = 16
 SMOOTHING = 0.5
 STEPS = 8
 PENALTY = 3.0
-MOST_LANGUAGES = 4
 UNKNOWN = "und"
 HELD_MODULUS, HELD_REMAINDER = 3, 1
 BLOCK_BYTES = 1 << 20
@@ -134,7 +133,7 @@ def mixtures(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     share[:] = chosen
     best = single.max(axis=0)
     # What is still growing: the texts (their numbers), and their columns of the arrays above.
-    for _ in range(min(MOST_LANGUAGES, k) - 1):
+    for _ in range(k - 1):
         own = np.repeat(np.arange(len(present)), np.diff(np.append(starts, len(text))))
         mix = np.maximum((like * share[:, present][:, own]).sum(axis=0), np.float32(1e-30))
         gain = _sums(like * (count / mix), starts) / total - 1
