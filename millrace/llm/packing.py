@@ -48,7 +48,8 @@ LONG_STRETCH = 256
 HARD_STEP = 64
 BLOCK_IDS = 1 << 20
 OPEN_WINDOWS = 16
-VOCABULARY_LIMIT = 1_000_000
+#: Words that a task remembers, and how many of them stay when they are more, and for the worker's next task.
+VOCABULARY_LIMIT, VOCABULARY_KEPT = 500_000, 200_000
 #: Plain words tokenized in one call.
 WORDS_PER_CALL = 256
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -77,7 +78,7 @@ class WordIds:
     @classmethod
     @functools.cache
     def of(cls, path: str) -> "WordIds":
-        """The one of this Python worker, so that later tasks find words known."""
+        """The one of this Python worker, so that later tasks find frequent words known."""
         return cls(path)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +110,14 @@ class WordIds:
         self.first = np.zeros(1, np.int64)
         self.ends_sentence = np.zeros(0, bool)
 
+    def shrink(self, words: int = VOCABULARY_KEPT) -> None:
+        """Keeps the words seen first, which are mostly the frequent ones."""
+        if len(self.codes) > words:
+            self.codes = self.codes.first(words)
+            self.first = self.first[: words + 1].copy()
+            self.ids = self.ids[: self.first[-1]].copy()
+            self.ends_sentence = self.ends_sentence[:words].copy()
+
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text, positions after the sentence ends), END_ID not yet added."""
         words, ends = [], [0]
@@ -124,7 +133,7 @@ class WordIds:
     def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all words, ids per word, code of each word)."""
         if len(self.codes) > VOCABULARY_LIMIT:
-            self.forget()
+            self.shrink()
         codes = self.codes.of(words)
         if new := self.codes.take_new():
             flat, counts = self.encode([w.decode() for w in new])
@@ -271,6 +280,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 yield pieces
         if pieces := packer.flush(last=True):
             yield pieces
+        word_ids.shrink()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, SCHEMA)

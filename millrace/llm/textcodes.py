@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -17,13 +20,27 @@ def blocks(batches: Iterator[pa.RecordBatch], text_col: str = "text", block_byte
         column = batch.column(batch.schema.get_field_index(text_col))
         if len(column) == 0:
             continue
-        sizes = np.asarray(column.cast(pa.binary()).fill_null(b"").to_pandas().str.len(), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(column.cast(pa.binary())).fill_null(0)).astype(np.int64)
         group = np.cumsum(sizes) // block_bytes
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
         for a, b in zip(cuts, cuts[1:]):
             piece = batch.slice(a, b - a)
             texts = piece.column(piece.schema.get_field_index(text_col)).cast(pa.binary()).fill_null(b"").to_pylist()
             yield piece, texts
+        del column, batch, piece, texts
+    pa.default_memory_pool().release_unused()
+
+
+def grouped(texts: list[bytes], block_bytes: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
+    """The texts in order, in runs of bounded bytes."""
+    begin = held = 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= block_bytes:
+            yield texts[begin : i + 1]
+            begin, held = i + 1, 0
+    if begin < len(texts):
+        yield texts[begin:]
 
 
 class Codes(dict):
@@ -38,6 +55,12 @@ class Codes(dict):
         self.new.append(word)
         return code
 
+    def first(self, n: int) -> "Codes":
+        """The n words seen first, which are mostly the frequent ones, with their numbers; none may be new."""
+        kept = Codes()
+        kept.update(islice(self.items(), n))
+        return kept
+
     def of(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
