@@ -1,34 +1,44 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-The kernel of two words is the sum over their common subsequences of three
+The kernel of two strings is the sum over their common subsequences of three
 letters, gaps allowed up to a span of SPAN letters, of DECAY to the power of
-both spans; it is normalised to 1 for equal words and raised to POWER, a kernel
+both spans; it is normalised to 1 for equal strings and raised to POWER, a kernel
 again, so that many faint likenesses do not add up to a word. Insults with gaps, dropped or
 inserted letters keep most of their subsequences. Letters are lower-cased, look-
 alike digits and signs become letters, other signs inside a word are dropped,
 and runs of single letters also count as one word.
 
+Landmarks are stems: beginnings of STEM_LEAST to STEM_MOST letters (a shorter word
+is its own) that tell toxic documents from others. Each beginning in the labelled
+texts is tested by the hypergeometric odds of its documents' labels; sentences said before
+do not count again, nor documents with more than COPY_SHARE of their word triples from others, so that copies are no evidence. All beginnings at least LEAST_ODDS times likelier in toxic documents that pass with false
+discoveries controlled at FALSE_SHARE (for discrete tests: the expected number of
+chance passes of all beginnings, by their own counts) are landmarks, but for
+those that tell no more than a stem of theirs that is one. A word is compared with a landmark as a
+whole and by its own beginnings of the landmark's length and up to SLACK letters more,
+whichever is more alike, so that endings hide no stem.
+
 As spans are bounded, a word's subsequences can be listed, and its kernel with
 all landmarks is a sum of rows of one table; each distinct word is worked out
-once per task, with a bounded memory. A sentence is described by its largest
+once per task, with a memory bounded in bytes. A sentence is described by its largest
 kernel with each landmark (values under FLOOR count as 0), mapped by the inverse
 root of the landmarks' own kernel matrix. The machine is trained on sentences of
 labelled documents, of a toxic document those that the machine so far finds
-toxic (multiple instances), and on telling words with a letter put in, on at most FIT_DOCS labelled rows chosen by hash.
-Landmarks are at most TELLING telling words.
+toxic (multiple instances), and on landmarks with a letter put in, on at most FIT_DOCS labelled rows chosen by hash.
 Letters of every script have codes; words of fewer than three letters have no subsequence, and text without spaces no words. A
 document's score is that of its most toxic sentence, as a probability.
 
 Defined results: null and empty texts score as a sentence without any likeness;
-without labels of both kinds everything scores 0; repeated labels of a document
-are separate rows; null labels are not learned; equal rows score alike; null ids
+without labels of both kinds, or without any telling stem, everything scores the share of toxic labels,
+halved so that nothing is rejected (0 without labels); repeated labels of a document
+are separate rows; null labels are not learned; equal rows score alike; ties among
+stems and labels are broken by value, so reruns agree; null ids
 are kept; an empty table gives no rows. Other columns are not read by
 ``score`` and kept by ``without_toxic``.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,16 +47,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.textcodes import Codes, blocks, crc_remainder, split_words
+from millrace.llm.textcodes import Codes, blocks, crc_remainder, grouped, split_words, spread
 
-SPAN, DECAY, FLOOR, POWER = 5, 0.7, 0.3, 3
-TELLING, TELLING_ODDS, UNLIKE, CANDIDATES = 32, 4, 0.55, 400
+SPAN, DECAY, FLOOR, POWER = 5, 0.7, 0.52, 3
+STEM_LEAST, STEM_MOST, SLACK = 3, 12, 2
+#: A document of so many word triples with a larger share of them from others is a copy; of shorter ones only repeated sentences are.
+COPY_SHARE, COPY_LEAST = 0.7, 20
+#: How much likelier a stem must be in toxic documents: long ones have more of all words.
+LEAST_ODDS = 4
+#: Expected share of false stems among those admitted.
+FALSE_SHARE = 0.05
 #: Share of the toxic class's weight that words with an inserted letter have.
 VARIANT_SHARE = 0.3
 FIT_DOCS = 5000
-ROUNDS, RIDGE = 4, 1e-6
+ROUNDS, RIDGE, MARGIN = 4, 1e-6, 1.5
 SPACED_LEAST = 4
-MEMORY = 500_000
+#: Bytes that a task may spend on remembered words, and what a word without likeness takes of them.
+MEMORY_BYTES, WORD_BYTES = 64 << 20, 160
 HELD_MODULUS = 5
 _LETTERS = 64
 #: Signs and digits that stand for letters.
@@ -93,32 +110,54 @@ def merged(word: np.ndarray, key: np.ndarray, weight: np.ndarray) -> tuple[np.nd
     return both // _LETTERS**3, both % _LETTERS**3, np.bincount(inverse, weight, minlength=len(both))
 
 
+def beginnings(code: np.ndarray, lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``most`` letters of every word, and how many each has."""
+    own = np.minimum(lengths, most)
+    return code[spread(np.cumsum(lengths) - lengths, own)], own
+
+
 @dataclass
 class Landmarks:
     """The table of normalised landmark vectors: subsequences that any of them has x landmarks."""
 
     table: np.ndarray
     row_of: np.ndarray  # the table's row of each subsequence, -1 for none
+    lengths: np.ndarray  # letters of each landmark
 
     @classmethod
     def of(cls, words: list[bytes]) -> "Landmarks":
-        word, key, weight = merged(*subsequences(*letters_of(words)))
+        code, lengths = letters_of(words)
+        word, key, weight = merged(*subsequences(code, lengths))
         used, row = np.unique(key, return_inverse=True)
         table = np.zeros((len(used), len(words)), np.float32)
         table[row, word] = weight
         row_of = np.full(_LETTERS**3, -1, np.int32)
         row_of[used] = np.arange(len(used))
-        return cls(table / np.maximum(np.sqrt((table**2).sum(axis=0)), 1e-12), row_of)
+        return cls(table / np.maximum(np.sqrt((table**2).sum(axis=0)), 1e-12), row_of, lengths)
+
+    def _products(self, code: np.ndarray, lengths: np.ndarray, columns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, its products with the landmarks of ``columns``, its norm) of all words that share a subsequence with a landmark."""
+        word, key, weight = merged(*subsequences(code, lengths))
+        norm = np.sqrt(np.bincount(word, weight * weight, minlength=len(lengths)))
+        at = np.flatnonzero(self.row_of[key] >= 0)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros((0, len(columns)), np.float32), norm[:0]
+        starts = np.flatnonzero(np.diff(word[at], prepend=-1))
+        rows = word[at][starts]
+        sums = np.add.reduceat(self.table[self.row_of[key[at]]][:, columns] * weight[at, None].astype(np.float32), starts, axis=0)
+        return rows, sums, norm[rows]
 
     def kernel(self, words: list[bytes], floor: float = 0.0) -> np.ndarray:
-        """Words x landmarks; values under ``floor`` are 0.
+        """Words x landmarks, the better of the whole word and its beginnings; values under ``floor`` are 0.
 
-        Merging equal subsequences only lengthens a word's vector, so the kernel
-        without merging is an upper bound; words under ``floor`` by it are done.
+        A beginning's product with a landmark is at most the whole word's, equal
+        subsequences unmerged, and merging only lengthens a vector; words that
+        stay under ``floor`` by these bounds are done.
         """
-        n = len(words)
-        out = np.zeros((n, self.table.shape[1]), np.float32)
-        word, key, weight = subsequences(*letters_of(words))
+        n, most = len(words), self.table.shape[1]
+        out = np.zeros((n, most), np.float32)
+        code, lengths = letters_of(words)
+        word, key, weight = subsequences(code, lengths)
         at = np.flatnonzero(self.row_of[key] >= 0)
         order = at[np.argsort(word[at], kind="stable")]
         if not len(order):
@@ -126,19 +165,29 @@ class Landmarks:
         own = word[order]
         starts = np.flatnonzero(np.diff(own, prepend=-1))
         sums = np.add.reduceat(self.table[self.row_of[key[order]]] * weight[order, None], starts, axis=0)
-        least = np.sqrt(np.bincount(word, weight * weight, minlength=n))[own[starts]]
-        maybe = sums.max(axis=1) >= floor * least
-        rows = own[starts][maybe]
-        if not len(rows):
-            return out
-        flag = np.zeros(n, bool)
-        flag[rows] = True
-        mine = flag[word]
-        exact_word, _, exact = merged(word[mine], key[mine], weight[mine])
-        norm = np.sqrt(np.bincount(exact_word, exact * exact, minlength=n))[rows]
-        out[rows] = sums[maybe] / norm[:, None]
+        rows = own[starts]
+        short = np.minimum(lengths[rows][:, None], self.lengths[None, :])
+        maybe = sums >= floor * _least_norm(short)
+        ends = np.cumsum(lengths)
+        for length in np.unique(self.lengths).tolist():
+            columns = np.flatnonzero(self.lengths == length)
+            mine = rows[maybe[:, columns].any(axis=1)]
+            if not len(mine):
+                continue
+            letters = code[spread(ends[mine] - lengths[mine], lengths[mine])]
+            for take in (None, *range(length, length + SLACK + 1)):
+                part = (letters, lengths[mine]) if take is None else beginnings(letters, lengths[mine], take)
+                found, products, norm = self._products(*part, columns)
+                at = np.ix_(mine[found], columns)
+                out[at] = np.maximum(out[at], products / norm[:, None])
         out[out < floor] = 0
-        return out**POWER
+        return np.minimum(out, 1) ** POWER
+
+
+def _least_norm(letters: np.ndarray) -> np.ndarray:
+    """The norm of a string of so many letters if all its subsequences differ."""
+    square = sum(np.maximum(letters - j, 0) * DECAY ** (2 * (j + 1)) for _, j in _PATTERNS)
+    return np.maximum(np.sqrt(square), 1e-12).astype(np.float32)
 
 
 class Likeness:
@@ -180,7 +229,7 @@ class Likeness:
 
     def sentences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(text, largest kernel with each landmark) of every sentence with any likeness."""
-        if len(self.codes) > MEMORY:
+        if self.rows.nbytes + WORD_BYTES * len(self.codes) > MEMORY_BYTES:
             self.forget()
         words, bounds = split_words(texts)
         codes = self.codes.of(words)
@@ -223,7 +272,12 @@ class Machine:
         if self.constant is not None:
             return np.full(len(margins), self.constant)
         a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * margins + b, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(a * bounded(margins) + b, -50, 50)))
+
+
+def bounded(margins: np.ndarray) -> np.ndarray:
+    """Margins squeezed into (-MARGIN, MARGIN), in their order: beyond the machine's own target they say no more."""
+    return MARGIN * np.tanh(margins / MARGIN)
 
 
 def _solve_svm(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
@@ -243,33 +297,191 @@ def _solve_svm(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
+def platt_loss(margins: np.ndarray, y: np.ndarray, slope: float, offset: float) -> float:
+    """Cross-entropy of the logistic with smoothed targets: (n + 1) / (n + 2) and 1 / (n + 2) for n labels of a kind."""
+    up, down = (y > 0).sum(), (y <= 0).sum()
+    target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    z = slope * margins + offset
+    return float((np.logaddexp(0, z) - target * z).sum())
+
+
 def _platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic that fits the labels (Newton, lightly ridged)."""
-    z, w, t = np.stack([margins, np.ones(len(y))], axis=1), np.array([1.0, 0.0]), (y > 0).astype(float)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (p - t) + 1e-2 * w)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+    """Slope and offset of the logistic that fits the labels best: Newton, each step halved while it raises the loss."""
+    up, down = (y > 0).sum(), (y <= 0).sum()
+    target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    z, w = np.stack([margins, np.ones(len(y))], axis=1), np.array([0.0, np.log((up + 1) / (down + 1))])
+    loss = platt_loss(margins, y, *w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-9 * np.eye(2), z.T @ (p - target))
+        while np.abs(step).max() > 1e-9 and (now := platt_loss(margins, y, *(w - step))) > loss:
+            step /= 2
+        if np.abs(step).max() <= 1e-9:
             break
-    return max(0.1, float(w[0])), float(w[1])
-
-
-def _telling_words(texts: list[bytes], y: np.ndarray) -> list[bytes]:
-    """Unlike words whose presence tells toxic documents most."""
-    seen = {1: Counter(), -1: Counter()}
-    for text, label in zip(texts, y.tolist()):
-        seen[label].update({w.strip(_EDGE).decode(errors="replace").lower().encode() for w in text.split()})
-    n1, n0 = max(1, int((y > 0).sum())), max(1, int((y < 0).sum()))
-    able = [w for w, c in seen[1].items() if c >= 4 and c * n0 >= TELLING_ODDS * seen[-1][w] * n1]
-    able = [w for w, n in zip(able, letters_of(able)[1].tolist()) if n >= 3]
-    ranked = sorted(able, key=lambda w: (-seen[1][w] / np.sqrt(seen[1][w] + seen[-1][w]), w))[:CANDIDATES]
-    telling: list[int] = []
-    alike = Landmarks.of(ranked).kernel(ranked) if ranked else np.zeros((0, 0))
-    for i in range(len(ranked)):
-        if len(telling) < TELLING and alike[i, telling].max(initial=0) < UNLIKE:
-            telling.append(i)
-    return [ranked[i] for i in telling]
+        w, loss = w - step, now
+    return float(w[0]), float(w[1])
+
+
+def _log_choose(n: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+
+
+def _tails(total: int, toxic: int, docs: int, factorial: np.ndarray) -> np.ndarray:
+    """P(at least c of ``total`` documents are toxic), c = 0 .. most, if drawn by chance from ``docs`` with ``toxic`` toxic ones."""
+    c = np.arange(max(0, total - (docs - toxic)), min(total, toxic) + 1)
+    choose = lambda n, k: factorial[n] - factorial[k] - factorial[n - k]
+    p = np.exp(choose(toxic, c) + choose(docs - toxic, total - c) - choose(docs, total))
+    tail = np.cumsum(p[::-1])[::-1]
+    return np.minimum(np.concatenate([np.ones(c[0]), tail]), 1)
+
+
+def chance_bound(totals: np.ndarray, hits: np.ndarray, toxic: int, docs: int, share: float = FALSE_SHARE) -> tuple[np.ndarray, float]:
+    """p of each count of ``hits`` of ``totals``, and the largest p at which the expected chance passes are at most ``share`` of the passes."""
+    factorial = _log_choose(docs)
+    p, attainable, gains = np.ones(len(totals)), [], []
+    for total in np.unique(totals).tolist():
+        tails = _tails(total, toxic, docs, factorial)
+        mine = totals == total
+        p[mine] = tails[hits[mine]]
+        some = tails[tails < 0.01][::-1]  # rising
+        attainable.append(some)
+        gains.append(np.diff(some, prepend=0) * mine.sum())
+    attainable, gains = np.concatenate(attainable or [p[:0]]), np.concatenate(gains or [p[:0]])
+    order = np.argsort(attainable, kind="stable")
+    attainable, expected = attainable[order], np.cumsum(gains[order])
+    found = np.sort(p[p < 0.01])
+    upto = np.searchsorted(attainable, found * (1 + 1e-9), side="right")
+    chance = np.concatenate([[0.0], expected])[upto]
+    passes = np.searchsorted(found, found, side="right")
+    good = np.flatnonzero(chance <= share * passes)
+    return p, float(found[good[-1]]) * (1 + 1e-9) if len(good) else 0.0
+
+
+@dataclass
+class _Stems:
+    """Beginnings of one length, with toxic and other documents that have them."""
+
+    key: np.ndarray
+    parent: np.ndarray  # key of the beginning one letter shorter
+    word: np.ndarray  # a word that has it
+    toxic: np.ndarray
+    clean: np.ndarray
+
+
+def _stems(code: np.ndarray, lengths: np.ndarray, doc: np.ndarray, word: np.ndarray, y: np.ndarray, letters: int) -> _Stems:
+    """``doc, word`` are the occurrences that count; ``code, lengths`` the letters of the distinct words."""
+    able = lengths >= letters
+    starts = (np.cumsum(lengths) - lengths)[able]
+    key, parent = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.uint64)
+    value = np.zeros(len(starts), np.uint64)
+    for i in range(letters):
+        before = value
+        value = (value + code[starts + i].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+    key[able], parent[able] = value, before
+    has = able[word]
+    distinct, first, of = np.unique(key, return_index=True, return_inverse=True)
+    pair = np.unique(of[word[has]] * len(y) + doc[has])
+    stem, label = pair // len(y), y[pair % len(y)] > 0
+    toxic, clean = (np.bincount(stem[k], minlength=len(distinct)) for k in (label, ~label))
+    some = (toxic + clean > 0) & able[first]
+    return _Stems(distinct[some], parent[first[some]], first[some], toxic[some], clean[some])
+
+
+def _copies(code: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Which documents of COPY_LEAST word triples or more have more than COPY_SHARE of them from documents before."""
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    triple = (code[:-2] + np.uint64(1)) * factor
+    triple ^= code[1:-1] + np.uint64(1)
+    triple *= factor
+    triple ^= code[2:] + np.uint64(1)
+    inside = doc[:-2] == doc[2:]
+    triple, owner = triple[inside], doc[:-2][inside]
+    order = np.argsort(triple, kind="stable").astype(np.uint32)
+    triple, owner = triple[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], triple[1:] != triple[:-1]])) if len(triple) else order
+    seen = owner != np.repeat(owner[starts], np.diff(starts, append=len(triple)))
+    triples = np.bincount(owner, minlength=docs)
+    return (np.bincount(owner[seen], minlength=docs) > COPY_SHARE * triples) & (triples >= COPY_LEAST)
+
+
+def telling_stems(texts: list[bytes], y: np.ndarray) -> list[bytes]:
+    """The beginnings that tell toxic documents, by evidence; see the module's notes."""
+    codes, code, counts = Codes(), [np.zeros(0, np.uint32)], []
+    for some in grouped(texts):
+        words, bounds = split_words(some)
+        code.append(codes.of(words).astype(np.uint32))
+        counts.append(np.diff(bounds))
+    code, bounds = np.concatenate(code), np.concatenate([[0], np.cumsum(np.concatenate(counts or [[]]))]).astype(np.int64)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))
+    known = list(codes)
+    del codes, counts, words
+    ended = np.fromiter((w[-1] in b".!?" for w in known), bool, len(known))[code]
+    ended[bounds[1:][np.diff(bounds) > 0] - 1] = True
+    sentence = (np.cumsum(ended) - ended).astype(np.int32)
+    starts = np.flatnonzero(np.diff(sentence, prepend=-1))
+    if not len(starts):
+        return []
+    # Equal words in equal places of a sentence give equal sums.
+    said = (np.arange(len(code), dtype=np.uint64) - starts.astype(np.uint64)[sentence]) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15)
+    said *= code + np.uint64(1)
+    said = np.add.reduceat(said, starts)
+    _, new = np.unique(said, return_index=True)
+    copies = _copies(code, doc, len(texts))
+    fresh = np.zeros(len(starts), bool)
+    fresh[new] = True
+    fresh = fresh[sentence] & ~copies[doc]
+    pair = np.unique(doc[fresh].astype(np.uint64) << np.uint64(32) | code[fresh])
+    doc, code = (pair >> np.uint64(32)).astype(np.int32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    del pair, fresh, sentence, said
+    letters, lengths = letters_of(known)
+    levels = [_stems(letters, lengths, doc, code, y, k) for k in range(STEM_LEAST, STEM_MOST + 1)]
+    for shorter, longer in zip(levels, levels[1:]):
+        # A beginning that one longer beginning has all documents of is told by that one.
+        at = np.searchsorted(shorter.key, longer.parent)
+        at = np.minimum(at, max(0, len(shorter.key) - 1))
+        same = (shorter.key[at] == longer.parent) & (shorter.toxic[at] == longer.toxic) & (shorter.clean[at] == longer.clean) if len(at) else at
+        keep = np.ones(len(shorter.key), bool)
+        keep[at[same]] = False
+        shorter.key, shorter.parent, shorter.word, shorter.toxic, shorter.clean = (
+            x[keep] for x in (shorter.key, shorter.parent, shorter.word, shorter.toxic, shorter.clean)
+        )
+    toxic, clean = np.concatenate([x.toxic for x in levels]), np.concatenate([x.clean for x in levels])
+    n1, n = int((y[~copies] > 0).sum()), int((~copies).sum())
+    p, bound = chance_bound(toxic + clean, toxic, n1, n)
+    size = np.repeat(np.arange(STEM_LEAST, STEM_MOST + 1), [len(x.key) for x in levels])
+    word = np.concatenate([x.word for x in levels])
+    first = np.cumsum(lengths) - lengths
+    passed = np.flatnonzero((p <= bound) & (toxic * (n - n1) >= LEAST_ODDS * clean * n1))
+    spelled = [letters[first[w] : first[w] + k].tobytes() for w, k in zip(word[passed].tolist(), size[passed].tolist())]
+    order = sorted(range(len(passed)), key=lambda i: (p[passed[i]], spelled[i]))
+    factorial = _log_choose(n)
+    admitted: dict[bytes, tuple[int, int]] = {}
+    for i in order:
+        a, b = int(toxic[passed[i]]), int(clean[passed[i]])
+        stem = spelled[i]
+        kin = [v for k, v in admitted.items() if stem.startswith(k) or k.startswith(stem)]
+        if all(_tells_more(a, b, *k, bound, factorial) for k in kin):
+            admitted[stem] = (a, b)
+    at = {spelled[i]: passed[i] for i in order}
+    return [_spelling(known[word[at[s]]], len(s)) for s in admitted]
+
+
+def _tells_more(a: int, b: int, toxic: int, clean: int, bound: float, factorial: np.ndarray) -> bool:
+    """Whether a of a + b documents is more than chance where a kindred stem has ``toxic`` of ``toxic + clean``."""
+    if a > toxic or b > clean:  # the shorter of the two: what it has beyond the longer must tell by itself
+        a, b = max(0, a - toxic), max(0, b - clean)
+        return a > 0 and a * (clean + 1) > 2 * b * (toxic + 1) and a >= 3
+    return bool(_tails(a + b, toxic, toxic + clean, factorial)[a] <= bound)
+
+
+def _spelling(word: bytes, letters: int) -> bytes:
+    """The shortest beginning of ``word`` with so many letters."""
+    text = word.decode(errors="replace").strip(_EDGE.decode())
+    for i in range(1, len(text) + 1):
+        if letters_of([text[:i].encode()])[1][0] >= letters:
+            return text[:i].lower().encode()
+    return word
 
 
 def inserted(word: bytes) -> list[bytes]:
@@ -281,18 +493,25 @@ def inserted(word: bytes) -> list[bytes]:
 def train(texts: list[bytes], labels: np.ndarray) -> Machine:
     """The machine of labelled documents; labels are 1 or 0."""
     y = np.where(labels > 0, 1, -1)
-    words = _telling_words(texts, y) if len(y) and abs(y.sum()) < len(y) else []
+    words = telling_stems(texts, y) if len(y) and abs(y.sum()) < len(y) else []
     if not words:
         empty = Landmarks.of([b""])
-        return Machine(empty, np.eye(1), np.zeros(1), 0.0, (1.0, 0.0), constant=0.0)
+        return Machine(empty, np.eye(1), np.zeros(1), 0.0, (1.0, 0.0), constant=float((y > 0).mean()) * 0.49 if len(y) else 0.0)
     landmarks = Landmarks.of(words)
     gram = landmarks.kernel(words).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = (vectors / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
     likeness = Likeness(landmarks)
-    text, features = likeness.sentences(texts)
+    text, features = [np.zeros(0, np.int64)], [np.zeros((0, len(words)), np.float32)]
+    before = 0
+    for some in grouped(texts):
+        own, found = likeness.sentences(some)
+        text.append(own + before)
+        features.append(found)
+        before += len(some)
+    text, features = np.concatenate(text), np.concatenate(features)
     x = features @ root
-    # First guess: a toxic document's sentences with a telling word. Variants of these words with
+    # First guess: a toxic document's sentences with a telling stem. Variants of these with
     # an inserted letter are toxic sentences too.
     toxic = (y[text] > 0) & (features.max(axis=1, initial=0) > 0.9)
     variants = landmarks.kernel([v for w in words for v in inserted(w)], FLOOR) @ root
@@ -308,8 +527,8 @@ def train(texts: list[bytes], labels: np.ndarray) -> Machine:
         if (now == toxic).all():
             break
         toxic = now
-    margins = machine.documents(likeness, texts)
-    machine.scale = _platt(margins, y)
+    margins = np.concatenate([machine.documents(likeness, some) for some in grouped(texts)])
+    machine.scale = _platt(bounded(margins), y)
     return machine
 
 
@@ -324,8 +543,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, id_col: st
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["fit_id"]).select("fit_id", "fit_label", "text")
-    rows = texts.orderBy(F.xxhash64("fit_id"), "fit_id", "fit_label", F.xxhash64("text")).limit(fit_docs).collect()
-    return train([(r.text or "").encode() for r in rows], np.array([r.fit_label for r in rows]))
+    rows = texts.orderBy(F.xxhash64("fit_id"), "fit_id", "fit_label", F.xxhash64("text")).limit(fit_docs).toArrow()
+    return train(rows.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), np.asarray(rows.column("fit_label")))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
