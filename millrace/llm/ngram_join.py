@@ -20,9 +20,17 @@ domain, and so on for DEALINGS dealings, the last with its empty projections. Tw
 linked sets either meet where one of them is not short, or both emit the next
 dealing: no link is lost.
 
+More parts are cut than differences can spoil, and most sets are smaller than their
+band's largest, so linked sets share not one but some number t of signatures of
+each dealing in which one of them is not short: what is left of a set's cells to
+spoil, by k2 + 1. A set therefore drops its t - 1 most crowded signatures of a
+dealing, in one order for all sets: of the t that two linked sets share, the least
+crowded comes after t - 1 others in both sets, so neither drops it. That takes away
+the signatures that a passage or line common to many texts brings about.
+
 Sets that are equal form a class and take part once, by a 64-bit fingerprint.
 Signature buckets with more than one class are kept. First every class is
-compared with the bucket's first class (a star, linear in the bucket), the links
+compared with its NEIGHBOURS in an order of each bucket (linear in the bucket), the links
 are closed to components, and only pairs of classes that share a bucket but are
 still in different components are compared in a second round, in blocks of at
 most BLOCK classes, behind lower bounds on the difference (sizes, and parity
@@ -30,7 +38,8 @@ sketches: each element flips one bit, so the bits that differ are at most the
 elements that differ). A sketch of 256 bits thins out the pairs where they are
 made, one of as many bits as the set has elements those that are left. Pairs are
 verified by the exact sizes of intersection and union. Components are closed by
-alternating large-star and small-star steps.
+alternating large-star and small-star steps. What is quadratic is left to buckets
+whose classes are like each other in most parts and yet not linked.
 
 The sets of the classes in question are made again from their texts, as sets of
 all classes would be larger than the input. A bitmap of at most PRESENT_BITS bits
@@ -67,11 +76,18 @@ N_WORDS = 5
 PERCENT = 80
 BAND_RATIO = 1.6
 DEALINGS = 4
+#: Parts beyond those that differences can spoil, in percent and at least: for parts without elements, and to drop crowded signatures.
+ROOM_PERCENT, ROOM_LEAST = 6, 3
+FAMILY_BITS = 12
+FAMILY = 1 << FAMILY_BITS
+#: Classes before it in a bucket that a class is first compared with, and the classes of a bucket lined up at once.
+NEIGHBOURS, LINE = 2, 4096
 SKETCH_WORDS = 4
 BLOCK = 512
 #: Largest bitmap of wanted texts that tasks are given, and its bits for each of them.
 PRESENT_BITS, BITS_EACH = 1 << 26, 16
-VOCABULARY_LIMIT = 600_000
+#: Words that a task remembers, how many of them it keeps beyond that, and fingerprints that it remembers.
+VOCABULARY_LIMIT, VOCABULARY_KEPT, SEEN_LIMIT = 300_000, 100_000, 300_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,15 +105,12 @@ class Shingler:
 
     def __init__(self, n: int):
         self.n = n
-        self.forget()
-
-    def forget(self) -> None:
         self.codes, self.hashes = Codes(), np.zeros(0, np.uint64)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(distinct hashes, sorted within each text, text after text; where each text's begin and end)."""
         if len(self.codes) > VOCABULARY_LIMIT:
-            self.forget()
+            self.codes, self.hashes = self.codes.first(VOCABULARY_KEPT), self.hashes[:VOCABULARY_KEPT].copy()
         words, ends = split_words([t.lower() for t in texts])
         codes = self.codes.of(words)
         if new := self.codes.take_new():
@@ -162,14 +175,14 @@ def bands(largest: int, percent: int = PERCENT, ratio: float = BAND_RATIO) -> li
         else:
             n2, k2 = (3, 1) if high <= 150 else (2, 1)
             n1 = k // (k2 + 1) + 1
-            n1 += 1 + n1 * 4 // 100  # room for cells without elements
+            n1 += max(ROOM_LEAST, n1 * ROOM_PERCENT // 100)
         out.append(Band(low, high, k, n1, n2, k2))
         low = high + 1
     return out
 
 
-def signatures(flat: np.ndarray, ends: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of its set) for all sets."""
+def signatures(flat: np.ndarray, ends: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, index of its set, allowance) for all sets; an allowance is the family * FAMILY + how many signatures the set may drop there."""
     sizes = np.diff(ends)
     table = bands(int(sizes.max(initial=0)) * 2 + 2, percent)
     lows = np.array([b.low for b in table])
@@ -179,25 +192,26 @@ def signatures(flat: np.ndarray, ends: np.ndarray, percent: int = PERCENT) -> tu
     upward = full[100 * sizes[full] >= percent * next_low[full]]
     sets = np.concatenate([full, upward])
     where = np.concatenate([band[full], band[upward] + 1])
-    found, owner = [], []
+    found, owner, allowed = [], [], []
     for dealing in range(DEALINGS):
         if not len(sets):
             break
         short = np.zeros(len(sets), bool)
         for shape in sorted({(table[b].n2, table[b].k2) for b in np.unique(where).tolist()}):
             mine = np.flatnonzero([(table[b].n2, table[b].k2) == shape for b in where.tolist()])
-            sig, own, few = _dealt(flat, ends, sets[mine], where[mine], table, shape, dealing, percent)
+            sig, own, allowance, few = _dealt(flat, ends, sets[mine], where[mine], table, shape, dealing, percent)
             found.append(sig)
             owner.append(own)
+            allowed.append(allowance)
             short[mine] = few
         sets, where = sets[short], where[short]
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(found), np.concatenate(owner)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    return np.concatenate(found), np.concatenate(owner), np.concatenate(allowed)
 
 
 def _dealt(flat, ends, sets, where, table, shape, dealing, percent):
-    """Signatures of one dealing for sets whose bands share (n2, k2), and which of the sets are short."""
+    """Signatures of one dealing for sets whose bands share (n2, k2), their owners and allowances, and which of the sets are short."""
     n2, k2 = shape
     sizes = np.diff(ends)[sets]
     n1 = np.array([table[b].n1 for b in where.tolist()], np.int64)
@@ -217,10 +231,12 @@ def _dealt(flat, ends, sets, where, table, shape, dealing, percent):
     of_set = np.repeat(np.arange(len(sets)), n1)
     to_spoil = np.bincount(of_set, np.minimum(filled.sum(axis=1), k2 + 1), minlength=len(sets))
     few = to_spoil <= most
+    shared = np.where(few, 1, -(-(to_spoil - most) // (k2 + 1)))  # parts with a common signature, at least
+    allowance = ((where * DEALINGS + dealing) * FAMILY + np.minimum(shared - 1, FAMILY - 1)).astype(np.int32)
     number = np.arange(parts) - np.repeat(first_part, n1)
     place = np.repeat(where, n1) * 1_000_003 + number
     last = dealing == DEALINGS - 1
-    found, owner = [], []
+    found, owner, allowed = [], [], []
     for j, subset in enumerate(combinations(range(n2), n2 - k2)):
         kept = np.flatnonzero(filled[:, subset].any(axis=1) | last)
         value = mix64(place[kept].astype(np.uint64) * _M + np.uint64(j + 16 * dealing))
@@ -228,7 +244,8 @@ def _dealt(flat, ends, sets, where, table, shape, dealing, percent):
             value = mix64(value + sums[kept, c] + np.uint64(c))
         found.append(value)
         owner.append(sets[of_set[kept]])
-    return np.concatenate(found), np.concatenate(owner), few
+        allowed.append(allowance[of_set[kept]])
+    return np.concatenate(found), np.concatenate(owner), np.concatenate(allowed), few
 
 
 def sketches(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +286,7 @@ def _sets_of(docs: DataFrame, n: int, emit, schema: str) -> DataFrame:
         seen: dict = {}
         for batch, texts in blocks(batches):
             flat, ends = shingler(texts)
-            if len(seen) > VOCABULARY_LIMIT:
+            if len(seen) > SEEN_LIMIT:
                 seen.clear()
             yield emit(batch, flat, ends, seen)
 
@@ -351,12 +368,59 @@ def _may_link(percent: int):
     return (100 * smaller >= percent * larger) & ((100 + percent) * differ <= (100 - percent) * (smaller + larger))
 
 
-def _side(classes: DataFrame, side: str) -> DataFrame:
-    return classes.select(
-        F.col("key").alias(side), F.col("size").alias(f"size_{side}"), *(F.col(f"s{i}").alias(f"s{side}{i}") for i in range(SKETCH_WORDS))
+def _crowded_dropped(signed: DataFrame) -> DataFrame:
+    """``bucket, key, crowd`` of the signatures that more than one class has, without those that a class may drop.
+
+    Each class drops its most crowded ones, in one order for all: the least
+    crowded signature that two linked sets share is none of them.
+    """
+    bucket = Window.partitionBy("signature")
+    family = Window.partitionBy("key", F.shiftright("allowance", FAMILY_BITS)).orderBy(F.col("crowd").desc(), "signature")
+    return (
+        signed.withColumn("pivot", F.min("key").over(bucket))
+        .withColumn("last", F.max("key").over(bucket))
+        .withColumn("members", F.bit_xor(F.xxhash64("key")).over(bucket))
+        .withColumn("crowd", F.count("*").over(bucket))
+        .where("pivot <> last")
+        .select("signature", "key", "allowance", "crowd", F.xxhash64("pivot", "last", "members").alias("bucket"))
+        .withColumn("rank", F.dense_rank().over(family))
+        .where(F.col("rank") > F.col("allowance").bitwiseAND(F.lit((1 << FAMILY_BITS) - 1)))
+        .groupBy("bucket", "key")
+        .agg(F.max("crowd").alias("crowd"))
     )
 
 
+def _apart(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``bucket, key, crowd, root`` of the buckets whose classes are not all in one component."""
+    if roots is None:
+        named = shared.withColumn("root", F.col("key"))
+    else:
+        named = shared.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+    return named.join(mixed, "bucket")
+
+
+def _chain(sketched: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), a < b, of classes that are neighbours in a bucket and may be linked.
+
+    A bucket's classes are lined up in an order of its own, those of a large
+    bucket in several lines, so that a large group of like classes is joined
+    up by few pairs a class, whatever the buckets' sizes.
+    """
+    line = F.pmod(F.xxhash64("bucket", "key", F.lit(1)), F.ceil(F.col("crowd") / LINE))
+    order = Window.partitionBy("bucket", "line").orderBy(F.xxhash64("key", "bucket"), "key")
+    kept = ["key", "size", *(f"s{i}" for i in range(SKETCH_WORDS))]
+    lined = sketched.withColumn("line", line).withColumn("own", F.struct(*kept))
+    near = lined.select("own", *(F.lag("own", k).over(order).alias(f"own{k}") for k in range(1, NEIGHBOURS + 1)))
+    named = lambda x, s: [x["key"].alias(s), x["size"].alias(f"size_{s}"), *(x[f"s{i}"].alias(f"s{s}{i}") for i in range(SKETCH_WORDS))]
+    pairs = None
+    for k in range(1, NEIGHBOURS + 1):
+        some = near.select(*named(F.col("own"), "a"), *named(F.col(f"own{k}"), "b")).where(F.col("b").isNotNull() & _may_link(percent))
+        some = some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = some if pairs is None else pairs.union(some)
+    return pairs.distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -386,38 +450,24 @@ def near_duplicates(
                 fresh.append(i)
         fresh = np.asarray(fresh, np.int64)
         sizes = np.diff(ends)[fresh]
-        sig, owner = signatures(flat[spread(ends[:-1][fresh], sizes)], np.concatenate([[0], np.cumsum(sizes)]), percent)
-        return pa.record_batch([_signed(sig), _signed(prints[fresh][owner])], names=["signature", "key"])
+        sig, owner, allowance = signatures(flat[spread(ends[:-1][fresh], sizes)], np.concatenate([[0], np.cumsum(sizes)]), percent)
+        return pa.record_batch([_signed(sig), _signed(prints[fresh][owner]), pa.array(allowance)], names=["signature", "key", "allowance"])
 
-    bucket = Window.partitionBy("signature")
-    signed = _sets_of(docs, n, sign, "signature long, key long")
-    shared = (
-        signed.withColumn("pivot", F.min("key").over(bucket))
-        .withColumn("last", F.max("key").over(bucket))
-        .withColumn("members", F.bit_xor(F.xxhash64("key")).over(bucket))
-        .where("pivot <> last")
-        .select(F.xxhash64("pivot", "last", "members").alias("bucket"), "pivot", "key")
-        .distinct()
-    )
-    shared = cut(shared)
+    signed = _sets_of(docs, n, sign, "signature long, key long, allowance int")
+    shared = cut(_crowded_dropped(signed))
     release(docs.sparkSession)
 
-    # Round 1: each class against the first of its bucket.
-    star = shared.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    star = cut(star.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_may_link(percent)).select("a", "b"))
-    links = _verified(star, docs, n, classes, percent)
+    # Round 1: each class against its neighbours in every bucket.
+    sketched = cut(_apart(shared, None).join(classes.drop("first_doc", "wide"), "key"))
+    chain = cut(_chain(sketched, percent))
+    links = _verified(chain, docs, n, classes, percent)
     release(docs.sparkSession)
 
     # Round 2: classes that share a bucket and are still apart.
     roots = components(links)
-    apart = (
-        shared.select("bucket", "key")
-        .join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
-        .select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    )
-    mixed = apart.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"))
-    apart = apart.join(mixed.where("r0 <> r1").select("bucket", "members"), "bucket")
-    apart = cut(apart.join(classes.drop("first_doc", "wide"), "key"))
+    apart = _apart(shared, roots)
+    members = apart.groupBy("bucket").agg(F.count("*").alias("members"))
+    apart = cut(apart.join(members, "bucket").join(classes.drop("first_doc", "wide"), "key"))
     block_count = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = apart.withColumn("block", F.pmod(F.xxhash64("key"), block_count).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), block_count - 1))
@@ -439,7 +489,7 @@ def near_duplicates(
         .where(_may_link(percent))
         .select("a", "b")
         .distinct()
-        .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        .join(chain, ["a", "b"], "left_anti")
     )
     more = _verified(cut(pairs), docs, n, classes, percent)
     roots = components(links.union(more))
