@@ -105,13 +105,33 @@ def unpivot(spark, sf_dir):
        FROM lineitem GROUP BY l_returnflag""",
 )
 def statistics(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+    """Moments, and the exact quartile without a group's values in one task.
+
+    The quartile lies between two approximate percentiles a little below and
+    above it; the rows below the first are counted, and only those between are ranked.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice", "l_discount")
+    near = F.percentile_approx("l_extendedprice", F.array(F.lit(0.2495), F.lit(0.2505)), 20_000)
+    groups = li.groupBy("l_returnflag").agg(
         F.round(F.stddev("l_quantity"), 6).alias("sd"),
         F.round(F.var_pop("l_quantity"), 6).alias("vp"),
         F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"),
         F.round(F.covar_samp("l_quantity", "l_discount"), 6).alias("cov"),
-        F.round(F.percentile("l_extendedprice", 0.25), 4).alias("q25"),
+        near.alias("near"),
+        ((F.count("l_extendedprice") - 1) * 0.25).alias("place"),
     )
+    price = F.col("l_extendedprice")
+    values = li.where(price.isNotNull()).join(F.broadcast(groups.select("l_returnflag", "near")), "l_returnflag")
+    below = values.where(price < F.col("near")[0]).groupBy("l_returnflag").agg(F.count("*").alias("below"))
+    between = values.where(price.between(F.col("near")[0], F.col("near")[1])).groupBy("l_returnflag", "l_extendedprice").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("l_returnflag").orderBy("l_extendedprice"))
+    ranked = between.withColumn("upto", upto).join(below, "l_returnflag", "left").join(groups, "l_returnflag", "right")
+    last = F.col("upto") + F.coalesce("below", F.lit(0))  # ranks from 0 up to, not including, this one
+    at = lambda place: F.min(F.when(last > place, price))
+    low, high = F.floor("place"), F.ceil("place")
+    found = ranked.groupBy("l_returnflag", "sd", "vp", "r", "cov", "place").agg(at(low).alias("low"), at(high).alias("high"))
+    q25 = F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place"))
+    return found.select("l_returnflag", "sd", "vp", "r", "cov", F.round(q25, 4).alias("q25"))
 
 
 @query(
@@ -126,6 +146,18 @@ def extreme_by(spark, sf_dir):
     )
 
 
+@query(
+    "p36_mode",
+    """SELECT c_mktsegment, c_nationkey AS nation FROM (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL)
+       QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, c_nationkey) = 1""",
+)
+def most_frequent(spark, sf_dir):
+    """The nation with most customers of each segment; of equals the smallest key."""
+    counted = table(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"))
+    best = F.max_by("c_nationkey", F.struct("n", -F.col("c_nationkey")))
+    return counted.groupBy("c_mktsegment").agg(best.alias("nation"))
+
+
 @query(
     "p37_collect",
     """SELECT n_regionkey, list_sort(list(n_name)) AS names, string_agg(n_name, '|' ORDER BY n_name) AS joined
@@ -142,6 +174,9 @@ def approximate(spark, sf_dir):
         F.approx_count_distinct("l_partkey", 0.02).alias("parts"),
         F.percentile_approx("l_extendedprice", 0.5, 10000).alias("median"),
         F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey")).alias("orders"),
+        F.theta_sketch_estimate(F.theta_sketch_agg("l_orderkey")).alias("orders_theta"),
+        F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("l_extendedprice"), F.lit(0.5)).alias("median_kll"),
+        F.length(F.count_min_sketch("l_partkey", F.lit(0.01), F.lit(0.95), F.lit(7))).alias("count_min_bytes"),
     )
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from millrace.plans.registry import query
 from millrace.session import table
 
+#: Parts of a group whose partial results meet in one pandas frame.
+SALTS = 64
+
 
 @query("p80_scalar_udf", "SELECT n_nationkey, upper(n_name) || '!' AS shout FROM nation")
 def scalar_udf(spark, sf_dir):
@@ -51,10 +54,15 @@ def table_function(spark, sf_dir):
     "SELECT event_id, max(value) OVER (PARTITION BY user_id) - value AS below FROM events",
 )
 def grouped_map(spark, sf_dir):
-    def below(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"event_id": rows["event_id"], "below": rows["value"].max() - rows["value"]})
+    """Each group's frame holds one row for each of at most SALTS parts of a user's events."""
+
+    def largest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]], "most": [rows["most"].max()]})
 
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(below, "event_id long, below double")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    parts = events.groupBy("user_id", F.pmod("event_id", F.lit(SALTS)).alias("salt")).agg(F.max("value").alias("most"))
+    most = parts.groupBy("user_id").applyInPandas(largest, "user_id long, most double")
+    return events.join(most, "user_id").select("event_id", (F.col("most") - F.col("value")).alias("below"))
 
 
 @query(
@@ -77,9 +85,14 @@ def map_in_pandas(spark, sf_dir):
        WHERE n_nationkey IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)""",
 )
 def cogroup(spark, sf_dir):
-    def count(key, customers: pd.DataFrame, suppliers: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n_nationkey": [key[0]], "customers": [len(customers)], "suppliers": [len(suppliers)]})
+    """Counts of at most SALTS parts of a nation meet in its frames."""
+
+    def count(key: tuple, customers: pd.DataFrame, suppliers: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n_nationkey": [key[0]], "customers": [int(customers["n"].sum())], "suppliers": [int(suppliers["n"].sum())]})
+
+    def parts(name, nation, key):
+        salt = F.pmod(key, F.lit(SALTS)).alias("salt")
+        return table(spark, sf_dir, name).groupBy(nation, salt).agg(F.count("*").alias("n")).groupBy(nation)
 
-    left = table(spark, sf_dir, "customer").select("c_nationkey").groupBy("c_nationkey")
-    right = table(spark, sf_dir, "supplier").select("s_nationkey").groupBy("s_nationkey")
+    left, right = parts("customer", "c_nationkey", "c_custkey"), parts("supplier", "s_nationkey", "s_suppkey")
     return left.cogroup(right).applyInPandas(count, "n_nationkey int, customers long, suppliers long")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.plans.registry import query
-from millrace.streaming.runs import drained, event_stream
+from millrace.session import shared_dir
+from millrace.streaming.runs import ROCKS_DB, drained, event_stream
 
 
 @query("p70_file_stream", "SELECT event_id, event_type FROM events WHERE value > 50")
@@ -74,3 +77,44 @@ def stream_stream(spark, sf_dir):
     on = F.expr("cu = pu AND pt >= ct AND pt <= ct + INTERVAL 1 HOUR")
     joined = clicks.withWatermark("ct", "10 minutes").join(buys.withWatermark("pt", "10 minutes"), on)
     return drained(joined.select("click_id", "purchase_id"))
+
+
+@query("p78_custom_state", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def custom_state(spark, sf_dir):
+    """Events counted per user by a state of its own; a user's rows come in frames of bounded size."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Count(StatefulProcessor):
+        def init(self, handle):
+            self.seen = handle.getValueState("seen", "n long")
+
+        def handleInputRows(self, key, rows, timers):
+            import pandas as pd
+
+            n = (self.seen.get()[0] if self.seen.exists() else 0) + sum(len(r) for r in rows)
+            self.seen.update((n,))
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+        def close(self):
+            pass
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKS_DB)
+    try:
+        users = event_stream(spark, sf_dir).select("user_id")
+        # Later batches carry a user's larger count.
+        counts = drained(users.groupBy("user_id").transformWithStateInPandas(Count(), "user_id long, n long", "Update", "None"), "update")
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return counts.groupBy("user_id").agg(F.max("n").alias("n"))
+
+
+@query("p79_memory_sink", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def memory_sink(spark, sf_dir):
+    """A memory sink, which holds its rows on the driver: here one per event type."""
+    name = f"sink_{uuid.uuid4().hex}"
+    counted = event_stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
+    running = counted.writeStream.format("memory").queryName(name).outputMode("complete")
+    running.trigger(availableNow=True).option("checkpointLocation", f"{shared_dir(spark)}/{name}").start().awaitTermination()
+    return spark.table(name)

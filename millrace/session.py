@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one made for a local run.
 
     A session without the setting is a local one (tests), where a temporary
-    folder is as good as shared; it is also set as the checkpoint folder.
+    folder is as good as shared; it is also set as the checkpoint folder. On a
+    cluster the setting must be there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         current = tempfile.mkdtemp(prefix="millrace-checkpoint-")

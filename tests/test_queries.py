@@ -27,6 +27,9 @@ def test_sketches_are_near_the_exact_figures(spark):
     ).first()
     for name in ("parts", "median", "orders"):
         assert abs(got[name] - exact[name]) < 0.06 * exact[name]
+    assert abs(got["orders_theta"] - exact["orders"]) < 0.06 * exact["orders"]
+    assert abs(got["median_kll"] - exact["median"]) < 0.06 * exact["median"]
+    assert 0 < got["count_min_bytes"] < 20_000  # by the sketch's error and confidence, not by the rows
 
 
 def test_entry_runs(spark):
