@@ -71,7 +71,7 @@ def fingerprint(paths) -> str:
 
 #: The layouts: mapping and the sets of paths that it reads.
 LAYOUTS = (
-    (Mapping("turn row", items=("", "role", "text")), ({"role", "text"}, {"turn", "role", "text"})),
+    (Mapping("turn row", items=("", "role", "text"), roles=()), ({"role", "text"}, {"turn", "role", "text"})),
     (Mapping("role and content", items=("messages", "role", "content")), ({"messages[].role", "messages[].content"}, {"id", "messages[].role", "messages[].content"})),
     (Mapping("from and value", items=("conversations", "from", "value")), ({"conversations[].from", "conversations[].value"}, {"id", "conversations[].from", "conversations[].value"})),
     (Mapping("prompt and completion", fields=(("user", "prompt"), ("assistant", "completion"))), ({"prompt", "completion"},)),

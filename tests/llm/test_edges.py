@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import hashlib
 import json
 from collections import Counter, defaultdict
 
@@ -169,6 +170,17 @@ def test_chat(spark):
     assert [joined[1].formatted[s["start"] : s["end"]] for s in joined[1].loss_spans] == ["b"]
 
 
+def test_chat_keeps_the_roles_of_turn_rows_and_long_texts(spark):
+    long = "word [INST] \\ " * 200_000
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (1, 2, "bot", "c"), (2, 0, "assistant", long)]
+    records = [(c, p, json.dumps({"role": r, "text": t}), "x", 9) for c, p, r, t in rows]
+    frame = spark.createDataFrame(records, "conv_id long, position long, record string, layout string, item int")
+    found = {r.conv_id: r for r in chat.digests(chat.canonical_turns(frame)).collect()}
+    said = "".join(f"{r}\n{t}\n" for c, _, r, t in rows if c == 1)
+    assert found[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert found[2].loss_chars == len(long) and found[2].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("text", ["", "\\", "\\\\<|done|>", "<|turn|>user<|says|>x<|done|>", "<\\|done|>", "</s>[INST] ok [/INST]", "<s\\>\n", "\U0001f600<<SYS>>"])
 def test_chat_escapes_are_reversible(text):
     whole, a, b = chat.formatted("assistant", text)
