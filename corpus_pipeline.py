@@ -6,6 +6,9 @@ but for the last, which returns packed pieces. ``run`` chains the stages over
 
 Nulls: null texts count as empty and stay null in the table; null ids are kept.
 An empty table gives no pieces. Extra columns pass through to the last stage.
+Ties: of linked documents the smallest id stays; documents of equal mixing keys
+are ordered by id and size. The mixing stage writes its rows in training order;
+packing keeps that order within each file that it reads, not between files.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays.
 
-    Rows that repeat an id with the same text count as one document.
-    Rows without an id cannot be told apart by it: all of them stay if one of
-    them is the first of its group.
+    Rows that repeat an id with the same text count as one document. Rows that
+    repeat an id with another text stay with it, and rows without an id cannot be
+    told apart by it: all of them stay if one of them is the first of its group.
     """
     found = ngram_join.near_duplicates(docs)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
