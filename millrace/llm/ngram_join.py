@@ -87,7 +87,7 @@ BLOCK = 512
 #: Largest bitmap of wanted texts that tasks are given, and its bits for each of them.
 PRESENT_BITS, BITS_EACH = 1 << 26, 16
 #: Words that a task remembers, how many of them it keeps beyond that, and fingerprints that it remembers.
-VOCABULARY_LIMIT, VOCABULARY_KEPT, SEEN_LIMIT = 300_000, 100_000, 300_000
+VOCABULARY_LIMIT, VOCABULARY_KEPT, SEEN_LIMIT = 200_000, 80_000, 200_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 

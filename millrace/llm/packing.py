@@ -49,7 +49,7 @@ HARD_STEP = 64
 BLOCK_IDS = 1 << 20
 OPEN_WINDOWS = 16
 #: Words that a task remembers, and how many of them stay when they are more, and for the worker's next task.
-VOCABULARY_LIMIT, VOCABULARY_KEPT = 500_000, 200_000
+VOCABULARY_LIMIT, VOCABULARY_KEPT = 400_000, 150_000
 #: Plain words tokenized in one call.
 WORDS_PER_CALL = 256
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"

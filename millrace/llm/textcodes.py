@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-
 from itertools import islice
 
 import numpy as np
@@ -14,8 +14,17 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 20
 
 
+def give_back() -> None:
+    """Hands memory that is free in this Python worker back to the system; workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library of most Linux systems
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches into pieces of bounded text; null texts become empty."""
+    give_back()  # what the task before has left
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text_col))
         if len(column) == 0:
@@ -28,7 +37,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text_col: str = "text", block_byte
             texts = piece.column(piece.schema.get_field_index(text_col)).cast(pa.binary()).fill_null(b"").to_pylist()
             yield piece, texts
         del column, batch, piece, texts
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def grouped(texts: list[bytes], block_bytes: int = BLOCK_BYTES) -> Iterator[list[bytes]]:

@@ -63,7 +63,7 @@ FIT_DOCS = 5000
 ROUNDS, RIDGE, MARGIN = 4, 1e-6, 1.5
 SPACED_LEAST = 4
 #: Bytes that a task may spend on remembered words, and what a word without likeness takes of them.
-MEMORY_BYTES, WORD_BYTES = 64 << 20, 160
+MEMORY_BYTES, WORD_BYTES = 40 << 20, 160
 HELD_MODULUS = 5
 _LETTERS = 64
 #: Signs and digits that stand for letters.
