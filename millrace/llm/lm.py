@@ -28,7 +28,7 @@ Defined results: null text is empty and consists of its end; a table without
 training documents gives counts of 0 and an untrained attention model; if none is
 set aside, the attention weighs PRIOR_WEIGHT; equal rows
 score alike up to the rounding of float32; null ids are kept; an empty table gives no rows. Other columns
-are not read. Two words with equal 64-bit hashes would share their count.
+are not read. Ids of equal counts take their codes in order of id. Two words with equal 64-bit hashes would share their count.
 """
 
 from __future__ import annotations
@@ -496,11 +496,6 @@ def likeliest(bins: dict[int, float]) -> Mix:
     return Mix(weight, int(sums[0]), (sums[1] + gain) / words, sums[1] / words, sums[2] / words)
 
 
-SCHEMA = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, base_logs double, score double, attention_score double"
-)
-
-
 def _score_block(model, tokenizer_path: str, n_train: int, weight: float):
     """A function that scores the documents of a block with the counts of its words."""
 

@@ -22,7 +22,8 @@ which is the same in every attempt of a task that reads files.
 
 Defined results: null or empty text gives the end id alone; equal rows are
 packed as often as they come; an empty table gives no pieces; a null id is kept.
-Other columns are not read.
+Other columns are not read. Ties: of equally cheap starts of a window the latest
+is taken; a power-of-two length only where it is cheaper.
 """
 
 from __future__ import annotations
