@@ -51,8 +51,8 @@ BLOCK_IDS = 1 << 20
 OPEN_WINDOWS = 16
 #: Words that a task remembers, and how many of them stay when they are more, and for the worker's next task.
 VOCABULARY_LIMIT, VOCABULARY_KEPT = 400_000, 150_000
-#: Plain words tokenized in one call.
-WORDS_PER_CALL = 256
+#: Plain words tokenized as one text, and words whose encodings are held at once.
+WORDS_PER_CALL, WORDS_AT_ONCE = 256, 4096
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _SPACES = bytes.maketrans(b"\t\n\r", b"   ")
 
@@ -83,6 +83,12 @@ class WordIds:
         return cls(path)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids per word); WORDS_AT_ONCE words' encodings are held at a time."""
+        parts = [self._encode(words[a : a + WORDS_AT_ONCE]) for a in range(0, len(words), WORDS_AT_ONCE)]
+        ids, counts = zip(*parts) if parts else ([np.zeros(0, np.uint32)], [np.zeros(0, np.int64)])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, ids per word).
 
         Words of Latin-1 letters are one pre-token each, which ends with the only
@@ -279,6 +285,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             packer.add(batch.column(0).to_pylist(), *word_ids(texts))
             if packer.held >= BLOCK_IDS and (pieces := packer.flush(last=False)):
                 yield pieces
+                del pieces
         if pieces := packer.flush(last=True):
             yield pieces
         word_ids.shrink()
