@@ -118,6 +118,13 @@ def op9_lm_score(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op13_filter_audit(spark, sf_dir):
+    """What each filter removes, per part, order of the filters and step."""
+    from millrace.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
@@ -197,9 +204,49 @@ FROM e GROUP BY conv_id
 """
 
 
+OP13_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+f AS (
+  SELECT doc_id, part,
+         CAST(len(ws) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 80 * len(ws) AS INT)
+         + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) AS INT)
+         + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+         + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask
+  FROM w),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, mask, count(*) AS docs, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+v(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM v a, v b, v c, v d, v e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+         coalesce(list_sum([1 << (ascii(filter_order[i]) - 65) for i in range(1, step)]), 0)::INT AS before
+  FROM o, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)),
+r AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN mask & (before | own) = 0 THEN docs ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN docs ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & before > 0 AND mask & own > 0 THEN docs ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = own THEN docs ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 def queries() -> dict:
     return {name: query for name, query in globals().items() if re.match(r"op\d+_", name)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": OP2_SQL, "op6_chat": OP6_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op2_source_mix": OP2_SQL, "op6_chat": OP6_SQL, "op10_ngram_join": OP10_SQL, "op13_filter_audit": OP13_SQL}
