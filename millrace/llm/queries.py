@@ -118,6 +118,13 @@ def op9_lm_score(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op12_decontaminate(spark, sf_dir):
+    """Words of benchmark windows in every document, and the items that they come from."""
+    from millrace.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark, sf_dir):
     """What each filter removes, per part, order of the filters and step."""
     from millrace.llm.filter_audit import audit
@@ -204,6 +211,27 @@ FROM e GROUP BY conv_id
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+i AS (SELECT item_id, least(10, len(ws)) AS n, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS pos FROM b WHERE len(ws) > 0),
+t AS MATERIALIZED (SELECT DISTINCT item_id, n, array_to_string(ws[pos:pos + n - 1], ' ') AS words FROM i),
+p AS (SELECT row_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM t) WHERE len(ws) >= n),
+h AS MATERIALIZED (SELECT row_id, pos, p.n, item_id FROM p JOIN t ON p.n = t.n AND array_to_string(ws[pos:pos + p.n - 1], ' ') = words),
+x AS (SELECT row_id, count(DISTINCT place) AS n_hit FROM (SELECT row_id, unnest(range(pos, pos + n)) AS place FROM (SELECT DISTINCT row_id, pos, n FROM h)) GROUP BY row_id),
+y AS (SELECT row_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY row_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x USING (row_id) LEFT JOIN y USING (row_id)
+"""
+
+
 OP13_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
@@ -249,4 +277,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": OP2_SQL, "op6_chat": OP6_SQL, "op10_ngram_join": OP10_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op2_source_mix": OP2_SQL, "op6_chat": OP6_SQL, "op10_ngram_join": OP10_SQL, "op12_decontaminate": OP12_SQL, "op13_filter_audit": OP13_SQL}
