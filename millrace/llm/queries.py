@@ -118,6 +118,40 @@ def op9_lm_score(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def _with_planted_tail(docs):
+    """``doc_id, text``; of texts whose id's crc32 ends in 0 the tail is a word pattern repeated."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    marked = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.element_at("words", a + i % p + 1))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), a), tail), " ")
+    return marked.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark, sf_dir):
+    """Runs of every document, of some after a periodic tail is planted: the longest, and digests."""
+    from millrace.llm.periodic_runs import find_runs
+
+    found = find_runs(_with_planted_tail(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[name].cast("string") for name in ("start", "length", "period")]), F.lit("\n")))
+    rows = found.select("doc_id", "runs", longest.alias("best"), F.array_join(lines, "").alias("lines"), "collapsed")
+    length, period = F.col("best.length"), -F.col("best.period")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_decontaminate(spark, sf_dir):
     """Words of benchmark windows in every document, and the items that they come from."""
     from millrace.llm.decontaminate import contamination
@@ -211,6 +245,43 @@ FROM e GROUP BY conv_id
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         coalesce(CAST(doc_id AS VARCHAR), '') AS id
+  FROM documents),
+c AS (  -- crc32, eight steps for each byte
+  SELECT * EXCLUDE (id), xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, len(id) + 1), lambda i: ascii(id[i])::BIGINT),
+         lambda crc, byte: list_reduce([xor(crc, byte)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+         lambda b, step: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END))) AS h
+  FROM d),
+a AS (SELECT *, CAST(h // 10 % greatest(len(ws), 1) AS BIGINT) AS a FROM c),
+p AS (SELECT *, CAST(1 + (len(ws) - a) // (3 + h // 10 % 8) AS BIGINT) AS p FROM a),
+w AS MATERIALIZED (
+  SELECT row_id, doc_id, CASE WHEN h % 10 = 0 AND len(ws) > 0
+         THEN ws[1:a] || list_transform(range(0, len(ws) - a), lambda i: ws[a + i % p + 1]) ELSE ws END AS ws
+  FROM p),
+g AS MATERIALIZED (SELECT row_id, unnest(range(0, len(ws) - 5)) AS i, unnest(list_transform(range(1, len(ws) - 4), lambda i: hash(ws[i:i + 5]))) AS six FROM w),
+e AS (
+  SELECT x.row_id, y.i - x.i AS q, x.i FROM g x JOIN g y ON x.row_id = y.row_id AND x.six = y.six AND x.i < y.i),
+s AS (SELECT row_id, q, i, i - row_number() OVER (PARTITION BY row_id, q ORDER BY i) AS island FROM e),
+m AS (SELECT row_id, q, min(i) AS start, max(i) + 6 + q - min(i) AS length FROM s GROUP BY row_id, q, island),
+r AS MATERIALIZED (SELECT row_id, start, length, min(q) AS period FROM m WHERE length >= greatest(12, 2 * q) GROUP BY row_id, start, length),
+b AS (
+  SELECT row_id, count(*) AS n_runs, arg_max(struct_pack(start, length, period), (length, -start, -period)) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM r GROUP BY row_id),
+u AS (SELECT row_id, list_distinct(flatten(list(range(start + period, start + length)))) AS gone FROM r GROUP BY row_id),
+k AS (SELECT row_id, string_agg(word, ' ' ORDER BY i) AS collapsed
+      FROM (SELECT w.row_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM w) v
+      WHERE NOT EXISTS (SELECT 1 FROM (SELECT row_id, unnest(gone) AS i FROM u) z WHERE z.row_id = v.row_id AND z.i = v.i) GROUP BY row_id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length,
+       CAST(best.period AS BIGINT) AS period, CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM w LEFT JOIN b USING (row_id) LEFT JOIN k USING (row_id)
+"""
+
+
 OP12_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row_id, doc_id,
@@ -277,4 +348,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": OP2_SQL, "op6_chat": OP6_SQL, "op10_ngram_join": OP10_SQL, "op12_decontaminate": OP12_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op2_source_mix": OP2_SQL, "op6_chat": OP6_SQL, "op10_ngram_join": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_decontaminate": OP12_SQL, "op13_filter_audit": OP13_SQL}
