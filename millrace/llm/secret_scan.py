@@ -181,21 +181,29 @@ def random_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int
     return [(a, 3, b) for a, b in _outside(kept, taken) if any(map(str.isalnum, text[a:b]))]
 
 
-def _outside(places: list[tuple[int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The union of ``places`` without ``taken``, as runs that do not overlap."""
+def _union(places: list[tuple[int, int]]) -> list[list[int]]:
+    """The union of ``places`` as runs in order that do not overlap."""
     union: list[list[int]] = []
     for a, b in sorted(places):
         if union and a < union[-1][1]:
             union[-1][1] = max(union[-1][1], b)
         else:
             union.append([a, b])
-    out = []
-    for a, b in union:
-        for start, _, end in sorted(taken):
-            if start < b and a < end:
-                if a < start:
-                    out.append((a, start))
-                a = max(a, end)
+    return union
+
+
+def _outside(places: list[tuple[int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The union of ``places`` without ``taken``, as runs that do not overlap; one walk along both."""
+    gone, at, out = _union([(start, end) for start, _, end in taken]), 0, []
+    for a, b in _union(places):
+        while at < len(gone) and gone[at][1] <= a:
+            at += 1
+        k = at
+        while k < len(gone) and gone[k][0] < b:
+            if a < gone[k][0]:
+                out.append((a, gone[k][0]))
+            a = max(a, gone[k][1])
+            k += 1
         if a < b:
             out.append((a, b))
     return out
@@ -250,9 +258,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     position = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(position).to_pylist()
-            clean = pa.array([None if t is None else redacted(t) for t in texts], pa.string())
+        for batch, texts in blocks(batches, text_col):
+            known = batch.column(position).is_valid().to_pylist()
+            clean = pa.array([redacted(t.decode()) if k else None for t, k in zip(texts, known)], pa.string())
             yield batch.set_column(position, batch.schema.field(position).with_type(pa.string()), clean)
 
     return docs.mapInArrow(run, docs.schema)
