@@ -81,7 +81,7 @@ def op6_chat(spark, sf_dir):
     said = [{"role": role, "content": _HOSTILE} for role in ("user", "assistant")]
     hostile = spark.range(1).select(F.lit(-1).cast("long"), F.lit(0).cast("long"), F.lit(json.dumps({"messages": said})))
     records = rows.select("conv_id", F.col("turn").alias("position"), record.alias("record")).union(hostile)
-    return digests(canonical_turns(records))
+    return digests(canonical_turns(records)).drop("unmapped")
 
 
 def op7_secrets(spark, sf_dir):
