@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.operators.quantiles import exact_percentile
 from millrace.operators.sessions import sessions
 from millrace.plans.registry import query, same_sql
 from millrace.session import table
@@ -105,33 +106,21 @@ def unpivot(spark, sf_dir):
        FROM lineitem GROUP BY l_returnflag""",
 )
 def statistics(spark, sf_dir):
-    """Moments, and the exact quartile without a group's values in one task.
-
-    The quartile lies between two approximate percentiles a little below and
-    above it; the rows below the first are counted, and only those between are ranked.
-    """
+    """Moments, and the exact quartile without a group's values in one task."""
     li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice", "l_discount")
-    near = F.percentile_approx("l_extendedprice", F.array(F.lit(0.2495), F.lit(0.2505)), 20_000)
-    groups = li.groupBy("l_returnflag").agg(
+    return described(li, "l_returnflag")
+
+
+def described(lines, key: str):
+    """``key, sd, vp, r, cov, q25`` of lines grouped by ``key``, nulls a group of their own."""
+    moments = lines.groupBy(key).agg(
         F.round(F.stddev("l_quantity"), 6).alias("sd"),
         F.round(F.var_pop("l_quantity"), 6).alias("vp"),
         F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"),
         F.round(F.covar_samp("l_quantity", "l_discount"), 6).alias("cov"),
-        near.alias("near"),
-        ((F.count("l_extendedprice") - 1) * 0.25).alias("place"),
     )
-    price = F.col("l_extendedprice")
-    values = li.where(price.isNotNull()).join(F.broadcast(groups.select("l_returnflag", "near")), "l_returnflag")
-    below = values.where(price < F.col("near")[0]).groupBy("l_returnflag").agg(F.count("*").alias("below"))
-    between = values.where(price.between(F.col("near")[0], F.col("near")[1])).groupBy("l_returnflag", "l_extendedprice").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("l_returnflag").orderBy("l_extendedprice"))
-    ranked = between.withColumn("upto", upto).join(below, "l_returnflag", "left").join(groups, "l_returnflag", "right")
-    last = F.col("upto") + F.coalesce("below", F.lit(0))  # ranks from 0 up to, not including, this one
-    at = lambda place: F.min(F.when(last > place, price))
-    low, high = F.floor("place"), F.ceil("place")
-    found = ranked.groupBy("l_returnflag", "sd", "vp", "r", "cov", "place").agg(at(low).alias("low"), at(high).alias("high"))
-    q25 = F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place"))
-    return found.select("l_returnflag", "sd", "vp", "r", "cov", F.round(q25, 4).alias("q25"))
+    quartile = exact_percentile(lines, [key], "l_extendedprice", 0.25).select(F.col(key).alias("group"), F.round("percentile", 4).alias("q25"))
+    return moments.join(quartile, F.col(key).eqNullSafe(F.col("group"))).drop("group")
 
 
 @query(
