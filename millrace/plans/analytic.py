@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.quantiles import exact_percentile
 from millrace.operators.sessions import sessions
+from millrace.operators.slices import ends, framed, range_total, running
 from millrace.plans.registry import query, same_sql
 from millrace.session import table
 
@@ -170,6 +171,7 @@ def approximate(spark, sf_dir):
 
 
 _EVENT_ORDER = "PARTITION BY user_id ORDER BY ts, event_id"
+_BY_TIME = ["ts", "event_id"]
 
 
 @query(
@@ -212,16 +214,12 @@ def top_per_group(spark, sf_dir):
         FROM events WINDOW w AS ({_EVENT_ORDER})""",
 )
 def offsets(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        F.lag("value").over(w).alias("before"),
-        F.lead("event_type").over(w).alias("after"),
-        F.first("event_id").over(w).alias("first_id"),
-        F.nth_value("event_id", 2).over(whole).alias("second_id"),
-        F.last("event_id").over(whole).alias("last_id"),
-    )
+    """Offsets and ends of each user's events, whatever share of all events a user holds."""
+    columns = {"before": lambda w: F.lag("value").over(w), "after": lambda w: F.lead("event_type").over(w)}
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", "event_type")
+    near = framed(events, "user_id", _BY_TIME, 1, 1, columns)
+    told = ends(near, "user_id", _BY_TIME, "event_id", 2)
+    return told.select("event_id", "before", "after", F.col("firsts")[0].alias("first_id"), F.try_element_at("firsts", F.lit(2)).alias("second_id"), F.col("last").alias("last_id"))
 
 
 @query(
@@ -230,18 +228,22 @@ def offsets(spark, sf_dir):
                count(*) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS around FROM events WINDOW w AS ({_EVENT_ORDER})""",
 )
 def rows_frame(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        "event_id", F.round(F.sum("value").over(w.rowsBetween(-3, 0)), 6).alias("moving"), F.count("*").over(w.rowsBetween(-1, 1)).alias("around")
-    )
+    columns = {
+        "moving": lambda w: F.round(F.sum("value").over(w.rowsBetween(-3, 0)), 6),
+        "around": lambda w: F.count("*").over(w.rowsBetween(-1, 1)),
+    }
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    return framed(events, "user_id", _BY_TIME, 3, 1, columns).select("event_id", "moving", "around")
 
 
-same_sql(
+@query(
     "p44_range_frame",
     """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '6' HOUR PRECEDING AND CURRENT ROW) AS recent
        FROM events""",
-    "events",
 )
+def range_frame(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return range_total(events, "user_id", "ts", "event_id", 6 * 3600).withColumnRenamed("total", "recent")
 
 
 @query(
@@ -281,9 +283,9 @@ def threshold(spark, sf_dir):
 )
 def toggle(spark, sf_dir):
     """Open after an odd number of clicks (R3)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    clicks = F.count(F.when(F.col("event_type") == "click", 1)).over(w)
-    return table(spark, sf_dir, "events").select("event_id", (clicks % 2 == 1).alias("is_open"))
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    counted = running(events, "user_id", _BY_TIME, {"clicks": ("count", F.when(F.col("event_type") == "click", 1))})
+    return counted.select("event_id", (F.col("clicks") % 2 == 1).alias("is_open"))
 
 
 @query(
@@ -292,15 +294,16 @@ def toggle(spark, sf_dir):
         SELECT event_id, count(*) FILTER (event_type = 'click') OVER (PARTITION BY user_id, era ORDER BY ts, event_id) % 2 = 1 AS is_open FROM g""",
 )
 def toggle_reset(spark, sf_dir):
-    """The toggle, closed by every view (R4)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    eras = table(spark, sf_dir, "events").withColumn("era", F.count(F.when(F.col("event_type") == "view", 1)).over(w))
-    inside = Window.partitionBy("user_id", "era").orderBy("ts", "event_id")
-    return eras.select("event_id", (F.count(F.when(F.col("event_type") == "click", 1)).over(inside) % 2 == 1).alias("is_open"))
+    """The toggle, closed by every view (R4): clicks so far, less those up to the last view."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    counted = running(events, "user_id", _BY_TIME, {"clicks": ("count", F.when(F.col("event_type") == "click", 1))})
+    closed = running(counted, "user_id", _BY_TIME, {"closed": ("max", F.when(F.col("event_type") == "view", F.col("clicks")))})
+    open_clicks = F.col("clicks") - F.coalesce("closed", F.lit(0))
+    return closed.select("event_id", (open_clicks % 2 == 1).alias("is_open"))
 
 
 @query("r08_ticks", f"SELECT event_id, row_number() OVER ({_EVENT_ORDER}) AS ticks FROM events")
 def ticks(spark, sf_dir):
     """A count of ticks, not of time (R8)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(w).cast("long").alias("ticks"))
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return running(events, "user_id", _BY_TIME, {"ticks": ("count", F.lit(1))}).select("event_id", "ticks")
