@@ -6,18 +6,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:
+#: The axis of a range join has 2 ** AXIS_BITS cells.
+AXIS_BITS = 50
+#: Levels of cells are this many doublings apart; the more, the fewer copies of points and the more of ranges.
+LEVEL_STEP = 2
+
+
+def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, level_step: int = LEVEL_STEP) -> DataFrame:
     """Rows of ``points`` with each row of ``ranges`` whose [low, high] holds the point.
 
-    Both sides are dealt to buckets of ``width``; a range goes to every bucket it
-    touches, so the join is an equi-join on the bucket with the predicate as a
-    check, and no pair is found twice because a point has one bucket. Choose
-    ``width`` near the usual range length. Nulls match nothing.
+    The axis between the least and the largest point is halved again and again into
+    dyadic cells. A range, cut off at the ends of the axis, is covered at the one level
+    whose cells are at most half as long as the range, so by 3 to ``2 ** (level_step + 1) + 1``
+    cells; a point is in one cell of each level that some range is covered at.
+    The join is an equi-join on (level, cell) with the predicate as a check, and
+    finds a pair once, as a range has one level and a point one cell of it. Ranges
+    of any lengths can be mixed; what is checked is at most twice what a range
+    holds for evenly spread points. At most ``AXIS_BITS / level_step + 1`` levels come to the driver.
+
+    Nulls and NaN match nothing, infinite bounds are open ends, and a range whose
+    low is above its high holds nothing. Numbers, dates and timestamps are compared as
+    they are; they are only dealt to cells as doubles.
     """
-    of = lambda c: F.floor(F.col(c) / width).cast("long")
-    left = points.withColumn("range_bucket", of(point))
-    right = ranges.where(F.col(low) <= F.col(high)).withColumn("range_bucket", F.explode(F.sequence(of(low), of(high))))
-    return left.join(right, "range_bucket").where(F.col(point).between(F.col(low), F.col(high))).drop("range_bucket")
+
+    def number(column: str, frame: DataFrame):
+        kind = dict(frame.dtypes)[column]
+        if kind.startswith("timestamp"):
+            return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+        return F.unix_date(column).cast("double") if kind == "date" else F.col(column).cast("double")
+
+    at, begin, end = number(point, points), number(low, ranges), number(high, ranges)
+    held = points.where(at.isNotNull() & ~F.isnan(at))
+    finite = at.between(-1.7976931348623157e308, 1.7976931348623157e308)
+    least, most = held.where(finite).agg(F.min(at), F.max(at)).first()
+    least, most = (least or 0.0), (most or 0.0)
+    cells = 1 << AXIS_BITS
+    scale = cells / (most / 2 - least / 2) / 2 if most > least else 0.0
+
+    def cell(x):
+        """Never falls as x rises, and takes what lies beyond the axis to its ends."""
+        inner = F.floor((F.least(F.greatest(x, F.lit(least)), F.lit(most)) / 2 - least / 2) * 2 * scale).cast("long")
+        return F.least(F.greatest(inner, F.lit(0)), F.lit(cells - 1))
+
+    asked = ranges.where((F.col(low) <= F.col(high)) & ~F.isnan(begin) & ~F.isnan(end))
+    placed = asked.withColumns({"range_first": cell(begin), "range_last": cell(end)})
+    length = F.col("range_last") - F.col("range_first") + 1
+    fits = F.greatest(F.lit(0), F.length(F.bin(length)) - 2)  # cells of this level are at most half as long as the range
+    placed = placed.withColumn("range_level", (fits - fits % level_step).cast("int"))
+    levels = sorted(r[0] for r in placed.select("range_level").distinct().collect())
+    if not levels:
+        levels = [0]
+    # Java shifts, with the level taken from the row.
+    at_level = lambda c: F.expr(f"shiftright({c}, range_level)")
+    covered = placed.withColumn("range_cell", F.explode(F.sequence(at_level("range_first"), at_level("range_last")))).drop("range_first", "range_last")
+    marked = held.withColumn("range_place", cell(at)).withColumn("range_level", F.explode(F.array(*map(F.lit, levels))))
+    marked = marked.withColumn("range_cell", at_level("range_place")).drop("range_place")
+    joined = marked.join(covered, ["range_level", "range_cell"]).where(F.col(point).between(F.col(low), F.col(high)))
+    return joined.drop("range_level", "range_cell")
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str], bucket_seconds: int = 86400) -> DataFrame:

@@ -38,10 +38,50 @@ def test_range_join_equals_brute_force(spark):
     expected = sorted((i, j) for i, x in points for j, lo, hi in ranges if None not in (x, lo) and lo <= x <= hi)
     a = spark.createDataFrame(points, "i int, x double")
     b = spark.createDataFrame(ranges, "j int, lo double, hi double")
-    got = range_join(a, b, "x", "lo", "hi", width=7).select("i", "j").collect()
+    got = range_join(a, b, "x", "lo", "hi").select("i", "j").collect()
     assert sorted(map(tuple, got)) == expected
 
 
+def _pairs(points, ranges):
+    return sorted((i, j) for i, x in points for j, lo, hi in ranges if None not in (x, lo, hi) and x == x and lo <= x <= hi)
+
+
+@pytest.mark.parametrize("step", [1, 2, 5])
+def test_range_join_of_ranges_of_all_lengths(spark, step):
+    """A range of 1e12 beside ranges of 1 and points of all sizes, infinite bounds, ties and one point alone."""
+    rng = random.Random(step)
+    points = [(i, rng.choice([-1, 1]) * 10 ** rng.uniform(-3, 12)) for i in range(300)] + [(k, 5.0) for k in range(300, 340)]
+    points += [(400, None), (401, float("nan")), (402, 0.0), (403, float("inf"))]
+    ranges = [(j, lo, lo + 10 ** rng.uniform(-4, 12)) for j, lo in enumerate(rng.choice([x for _, x in points[:340]]) for _ in range(120))]
+    ranges += [(500, 0.0, 1e12), (501, 4.0, 5.0), (502, 5.0, 5.0), (503, 6.0, 5.0), (504, float("-inf"), 0.0), (505, 1e11, float("inf")), (506, None, 1.0), (507, 2e12, 3e12)]
+    a, b = spark.createDataFrame(points, "i int, x double"), spark.createDataFrame(ranges, "j int, lo double, hi double")
+    joined = range_join(a, b, "x", "lo", "hi", step)
+    assert joined.columns == ["i", "x", "j", "lo", "hi"]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sorted(map(tuple, joined.select("i", "j").collect())) == _pairs(points, ranges)
+    for same in ([(1, 5.0)], []):
+        few = range_join(spark.createDataFrame(same, "i int, x double"), b, "x", "lo", "hi", step)
+        assert sorted(map(tuple, few.select("i", "j").collect())) == _pairs(same, ranges)
+    assert range_join(a, b.where("false"), "x", "lo", "hi").count() == 0
+
+
+def test_range_join_checks_little_more_than_it_finds(spark):
+    points = spark.range(20_000).select(F.col("id").cast("double").alias("x"))
+    ranges = spark.range(200).select((F.col("id") * 97).cast("double").alias("lo"), (F.col("id") * 97 + 5 * F.col("id")).cast("double").alias("hi"))
+    joined = range_join(points, ranges, "x", "lo", "hi")
+    found = joined.count()
+    cells = [r for r in ranges.select((F.col("hi") - F.col("lo") + 1).alias("n")).collect()]
+    assert found <= sum(r.n for r in cells)
+
+
+def test_range_join_of_times_and_whole_numbers(spark):
+    rows = spark.createDataFrame([(i, _at(i * 60), i) for i in range(100)], "i int, t timestamp_ntz, n long")
+    spans = spark.createDataFrame([(0, _at(0), _at(59), 0, 2**62), (1, _at(60), _at(600), 98, 98), (2, _at(-5), _at(10_000), 5, 4)], "j int, lo timestamp_ntz, hi timestamp_ntz, a long, b long")
+    assert sorted(map(tuple, range_join(rows, spans, "t", "lo", "hi").groupBy("j").count().collect())) == [(0, 1), (1, 10), (2, 100)]
+    assert sorted(map(tuple, range_join(rows, spans, "n", "a", "b").groupBy("j").count().collect())) == [(0, 100), (1, 1)]
+
+
 def test_session_gap_of_exactly_the_limit_opens_a_new_session(spark):
     rows = spark.createDataFrame([("u", _at(s)) for s in (0, 10, 70, 131)], "k string, t timestamp_ntz")
     assert sorted(r.n for r in sessions(rows, "k", "t", 60).collect()) == [1, 1, 2]
