@@ -6,9 +6,9 @@ that kind are those of the training-data subpackage alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.operators.vectors import assigned, fit, nearest, search
 from millrace.plans.registry import query
 from millrace.session import table
 
@@ -59,13 +59,13 @@ def label_confusion(spark, sf_dir):
 )
 def vector_topk(spark, sf_dir):
     """The five nearest of every vector, for the query set of ids divisible by 20."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = vectors.join(asked, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(dot, 6).alias("dot"))
-    # The best five of each task first, so that a query's candidates do not all meet in one task.
-    part = pairs.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    order = [F.col("dot").desc(), "vec_id"]
-    local = part.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where("rn <= 5")
-    best = local.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where("rn <= 5")
-    return best.select("query_id", "vec_id", "dot")
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), 5)
+
+
+@query("p69_vector_index")
+def vector_index(spark, sf_dir):
+    """The same by an inverted file over all vectors; recall is measured against p68_vector_topk."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = fit(vectors, 5)
+    return search(index, assigned(vectors, index), vectors.where("vec_id % 20 = 0"), 5)
