@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from millrace.operators.quantiles import exact_percentile
 from millrace.operators.sessions import sessions
+from millrace.operators.sketches import count_min, merged_counts, point_estimates
 from millrace.operators.slices import ends, framed, range_total, running
 from millrace.plans.registry import query, same_sql
-from millrace.session import table
+from millrace.session import cut, table
+
+#: Error as a share of the rows, and confidence, of the count-min sketch; words that a top-k sketch tracks.
+COUNT_MIN = (0.0005, 0.99)
+TOP_TRACKED = 4_096
 
 
 @query(
@@ -170,6 +175,50 @@ def approximate(spark, sf_dir):
     )
 
 
+@query(
+    "p38_theta_by_year",
+    """WITH y AS (SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS year, l_partkey FROM lineitem),
+            n AS (SELECT a.year, count(*) AS parts, count(b.l_partkey) AS again FROM y a LEFT JOIN y b ON b.year = a.year + 1 AND b.l_partkey = a.l_partkey GROUP BY a.year)
+       SELECT n.year, n.parts, n.again AS in_both, n.parts - n.again AS gone, n.parts + m.parts - n.again AS in_either
+       FROM n JOIN n m ON m.year = n.year + 1""",
+)
+def theta_by_year(spark, sf_dir):
+    """Parts shipped in a year and the next: one theta sketch a year, stored, then combined.
+
+    Below 4,096 parts a year the sketches hold all of them and the figures are exact;
+    beyond, they are within a few hundredths of the larger set.
+    """
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year"))
+    years = cut(lines.agg(F.theta_sketch_agg("l_partkey", 12).alias("sketch")))
+    after = years.select((F.col("year") - 1).alias("year"), F.col("sketch").alias("next"))
+    n = F.theta_sketch_estimate
+    return years.join(after, "year").select(
+        "year",
+        n("sketch").alias("parts"),
+        n(F.theta_intersection("sketch", "next")).alias("in_both"),
+        n(F.theta_difference("sketch", "next")).alias("gone"),
+        n(F.theta_union("sketch", "next", 12)).alias("in_either"),
+    )
+
+
+@query("p38_count_min")
+def count_min_by_month(spark, sf_dir):
+    """Lines of every part by a count-min sketch that is merged from one a year; never below the count."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.year("l_shipdate").alias("year"))
+    years = cut(count_min(lines, "l_partkey", ["year"], *COUNT_MIN))
+    return point_estimates(merged_counts(years, []), lines, "l_partkey", [], *COUNT_MIN)
+
+
+@query("p38_top_words")
+def top_words(spark, sf_dir):
+    """The 20 most frequent words of each language's documents by a sketch for each source, combined."""
+    words = table(spark, sf_dir, "documents").select("lang", "source", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
+    by_source = cut(words.groupBy("lang", "source").agg(F.call_function("approx_top_k_accumulate", "word", F.lit(TOP_TRACKED)).alias("sketch")))
+    merged = by_source.groupBy("lang").agg(F.call_function("approx_top_k_combine", "sketch", F.lit(TOP_TRACKED)).alias("sketch"))
+    best = merged.select("lang", F.explode(F.call_function("approx_top_k_estimate", "sketch", F.lit(20))).alias("best"))
+    return best.select("lang", F.col("best.item").alias("word"), F.col("best.count").alias("n"))
+
+
 _EVENT_ORDER = "PARTITION BY user_id ORDER BY ts, event_id"
 _BY_TIME = ["ts", "event_id"]
 

@@ -50,8 +50,41 @@ def table_function(spark, sf_dir):
                 yield (word,)
 
     spark.udtf.register("millrace_words", Words)
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql("SELECT p_partkey, word FROM part, LATERAL millrace_words(p_name)")
+    return spark.sql("SELECT p_partkey, word FROM {part}, LATERAL millrace_words(p_name)", part=table(spark, sf_dir, "part"))
+
+
+@query(
+    "p82_table_argument",
+    """SELECT o_custkey AS group_key, o_orderkey AS row_key, o_totalprice AS value,
+              round(sum(o_totalprice) OVER w, 2) AS running, count(*) OVER w AS place
+       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""",
+)
+def table_argument(spark, sf_dir):
+    """A running total by a table function over a partitioned and ordered table; it keeps two numbers of each partition."""
+    from pyspark.sql.types import DoubleType, LongType, StructType
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+    @F.udtf
+    class Running:
+        """The schema of the result follows the columns that are named."""
+
+        def __init__(self):
+            self.total, self.place = 0.0, 0
+
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, row: AnalyzeArgument, value: AnalyzeArgument) -> AnalyzeResult:
+            kind = {f.name: f.dataType for f in rows.dataType.fields}
+            schema = StructType().add("group_key", kind[key.value]).add("row_key", kind[row.value]).add("value", kind[value.value])
+            return AnalyzeResult(schema.add("running", DoubleType()).add("place", LongType()))
+
+        def eval(self, rows, key: str, row: str, value: str):
+            self.total += rows[value] or 0.0
+            self.place += 1
+            yield rows[key], rows[row], rows[value], self.total, self.place
+
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    dealt = orders.asTable().partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return Running(dealt, *map(F.lit, ("o_custkey", "o_orderkey", "o_totalprice"))).withColumn("running", F.round("running", 2))
 
 
 @query(

@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.operators.fixpoint import reachable
 from millrace.operators.joins import asof_join, range_join
+from millrace.operators.sampling import stratified
 from millrace.plans.registry import query, same_sql
 from millrace.session import table
 from millrace.sources.files import written_and_read
+from millrace.sources.layouts import bucketed, overwrite_partitions, partitioned
 
 _NTZ = "timestamp_ntz '{}'"
 
@@ -97,6 +100,52 @@ _sink("p06_sink_json", "json")
 _sink("p06_sink_orc", "orc")
 
 
+@query("p06_bucketed_join", "SELECT o_custkey, count(*) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
+def bucketed_join(spark, sf_dir):
+    """Orders and lines in as many buckets of their key: the join reads them as they lie."""
+    return in_buckets(spark, sf_dir).groupBy("o_custkey").agg(F.count("*").alias("lines"))
+
+
+def in_buckets(spark, sf_dir):
+    orders = bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 16)
+    lines = bucketed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), "l_orderkey", 16)
+    return orders.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+
+
+@query(
+    "p06_dynamic_pruning",
+    "SELECT c_custkey, c_acctbal, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name LIKE '%2%'",
+)
+def dynamic_pruning(spark, sf_dir):
+    """Customers in folders by nation: only those of the nations that a filter on the other table leaves are read."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    stored = spark.read.schema(customers.schema).parquet(partitioned(customers, "c_nationkey"))
+    nations = table(spark, sf_dir, "nation").where("n_name LIKE '%2%'")
+    return stored.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_acctbal", "n_name")
+
+
+@query(
+    "p06_dynamic_overwrite",
+    "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders",
+)
+def dynamic_overwrite(spark, sf_dir):
+    """Orders in folders by status, of which one is replaced."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    folder = partitioned(orders, "o_orderstatus")
+    overwrite_partitions(orders.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.lit(0.0)), folder, "o_orderstatus")
+    return spark.read.schema(orders.schema).parquet(folder).select(orders.columns)
+
+
+@query(
+    "p07_stratified",
+    """SELECT o_orderstatus, o_orderkey, o_totalprice FROM orders
+       QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('7|=' || o_orderkey), o_orderkey) <= 200""",
+)
+def stratified_sample(spark, sf_dir):
+    """200 orders of each status, the same however the table is split."""
+    return stratified(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice"), ["o_orderstatus"], 200, ["o_orderkey"], 7)
+
+
 @query("p07_sample")
 def sample(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").sample(fraction=0.1, seed=7).select("l_orderkey", "l_linenumber")
@@ -247,11 +296,25 @@ for _name, _method, _word in (
 ):
     _set_operation(f"p49_{_name}", _method, _word)
 
-same_sql(
+@query(
     "p50_recursive",
-    """WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12)
-       SELECT n, f FROM r""",
+    """WITH RECURSIVE bought AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49),
+            e AS (SELECT 'c' || c AS a, 'p' || p AS b FROM bought UNION ALL SELECT 'p' || p, 'c' || c FROM bought),
+            r(node, steps) AS (SELECT 'c' || c_custkey, 0 FROM customer WHERE c_nationkey = 3
+                               UNION SELECT b, steps + 1 FROM r JOIN e ON a = node WHERE steps < 8)
+       SELECT CAST(substr(node, 2) AS BIGINT) AS c_custkey, CAST(min(steps) // 2 AS INT) AS links FROM r WHERE node LIKE 'c%' GROUP BY node""",
 )
+def recursive(spark, sf_dir):
+    """Customers linked with those of a nation by a part that both bought in bulk, and over how many others, up to four links."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    bought = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    c, p = F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("p"), "l_partkey")
+    edges = bought.select(c.alias("a"), p.alias("b")).union(bought.select(p, c))
+    starts = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+    found = reachable(edges, starts, 8).where("node LIKE 'c%'")
+    return found.select(F.substring("node", 2, 20).cast("long").alias("c_custkey"), F.floor(F.col("steps") / 2).cast("int").alias("links"))
+
+
 same_sql(
     "p50_cte",
     """WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey)
