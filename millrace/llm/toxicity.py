@@ -24,7 +24,8 @@ once per task, with a memory bounded in bytes. A sentence is described by its la
 kernel with each landmark (values under FLOOR count as 0), mapped by the inverse
 root of the landmarks' own kernel matrix. The machine is trained on sentences of
 labelled documents, of a toxic document those that the machine so far finds
-toxic (multiple instances), and on landmarks with a letter put in, on at most FIT_DOCS labelled rows chosen by hash.
+toxic (multiple instances), and on landmarks with a letter put in or left out, which enter
+the scale of the probabilities too, on at most FIT_DOCS labelled rows chosen by hash.
 Letters of every script have codes; words of fewer than three letters have no subsequence, and text without spaces no words. A
 document's score is that of its most toxic sentence, as a probability.
 
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.textcodes import Codes, blocks, crc_remainder, grouped, split_words, spread
 
-SPAN, DECAY, FLOOR, POWER = 5, 0.7, 0.52, 3
+SPAN, DECAY, FLOOR, POWER = 7, 0.9, 0.65, 2
 STEM_LEAST, STEM_MOST, SLACK = 3, 12, 2
 #: A document of so many word triples with a larger share of them from others is a copy; of shorter ones only repeated sentences are.
 COPY_SHARE, COPY_LEAST = 0.7, 20
@@ -57,8 +58,10 @@ COPY_SHARE, COPY_LEAST = 0.7, 20
 LEAST_ODDS = 4
 #: Expected share of false stems among those admitted.
 FALSE_SHARE = 0.05
-#: Share of the toxic class's weight that words with an inserted letter have.
-VARIANT_SHARE = 0.3
+#: Share of the toxic class's weight that landmarks with a letter put in or left out have.
+VARIANT_SHARE = 0.2
+#: Words whose kernels are worked out together.
+WORDS_AT_ONCE = 8_000
 FIT_DOCS = 5000
 ROUNDS, RIDGE, MARGIN = 4, 1e-6, 1.5
 SPACED_LEAST = 4
@@ -204,8 +207,8 @@ class Likeness:
 
     def _learn(self) -> None:
         new = self.codes.take_new()
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
             values = self.landmarks.kernel(part, FLOOR)
             like = values.any(axis=1)
             self.row = np.concatenate([self.row, np.where(like, len(self.rows) + np.cumsum(like) - 1, -1)])
@@ -297,24 +300,30 @@ def _solve_svm(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
-def platt_loss(margins: np.ndarray, y: np.ndarray, slope: float, offset: float) -> float:
-    """Cross-entropy of the logistic with smoothed targets: (n + 1) / (n + 2) and 1 / (n + 2) for n labels of a kind."""
-    up, down = (y > 0).sum(), (y <= 0).sum()
-    target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+def _targets(y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Smoothed targets, (n + 1) / (n + 2) and 1 / (n + 2) for n labels of a kind, and both n."""
+    up, down = float(share[y > 0].sum()), float(share[y <= 0].sum())
+    return np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2)), up, down
+
+
+def platt_loss(margins: np.ndarray, y: np.ndarray, slope: float, offset: float, share: np.ndarray | None = None) -> float:
+    """Cross-entropy of the logistic with smoothed targets, rows weighted by ``share``."""
+    share = np.ones(len(y)) if share is None else share
+    target, _, _ = _targets(y, share)
     z = slope * margins + offset
-    return float((np.logaddexp(0, z) - target * z).sum())
+    return float((share * (np.logaddexp(0, z) - target * z)).sum())
 
 
-def _platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _platt(margins: np.ndarray, y: np.ndarray, share: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset of the logistic that fits the labels best: Newton, each step halved while it raises the loss."""
-    up, down = (y > 0).sum(), (y <= 0).sum()
-    target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    share = np.ones(len(y)) if share is None else share
+    target, up, down = _targets(y, share)
     z, w = np.stack([margins, np.ones(len(y))], axis=1), np.array([0.0, np.log((up + 1) / (down + 1))])
-    loss = platt_loss(margins, y, *w)
+    loss = platt_loss(margins, y, *w, share)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-9 * np.eye(2), z.T @ (p - target))
-        while np.abs(step).max() > 1e-9 and (now := platt_loss(margins, y, *(w - step))) > loss:
+        step = np.linalg.solve((z * (share * p * (1 - p))[:, None]).T @ z + 1e-9 * np.eye(2), z.T @ (share * (p - target)))
+        while np.abs(step).max() > 1e-9 and (now := platt_loss(margins, y, *(w - step), share)) > loss:
             step /= 2
         if np.abs(step).max() <= 1e-9:
             break
@@ -490,6 +499,12 @@ def inserted(word: bytes) -> list[bytes]:
     return [(text[:i] + chr(97 + (7 * i + len(text)) % 26) + text[i:]).encode() for i in range(1, len(text))]
 
 
+def dropped(word: bytes) -> list[bytes]:
+    """The word without one of its letters, if three are left."""
+    text = word.decode(errors="replace")
+    return [(text[:i] + text[i + 1 :]).encode() for i in range(len(text))] if len(text) > STEM_LEAST else []
+
+
 def train(texts: list[bytes], labels: np.ndarray) -> Machine:
     """The machine of labelled documents; labels are 1 or 0."""
     y = np.where(labels > 0, 1, -1)
@@ -512,9 +527,10 @@ def train(texts: list[bytes], labels: np.ndarray) -> Machine:
     text, features = np.concatenate(text), np.concatenate(features)
     x = features @ root
     # First guess: a toxic document's sentences with a telling stem. Variants of these with
-    # an inserted letter are toxic sentences too.
+    # a letter put in or left out are toxic sentences too.
     toxic = (y[text] > 0) & (features.max(axis=1, initial=0) > 0.9)
-    variants = landmarks.kernel([v for w in words for v in inserted(w)], FLOOR) @ root
+    varied = landmarks.kernel([v for w in words for v in (*inserted(w), *dropped(w))], FLOOR)
+    variants = varied @ root
     clean = np.vstack([x[y[text] < 0], np.zeros((1, x.shape[1]))])
     machine = Machine(landmarks, root, np.zeros(len(root)), 0.0, (1.0, 0.0))
     for _ in range(ROUNDS):
@@ -528,7 +544,9 @@ def train(texts: list[bytes], labels: np.ndarray) -> Machine:
             break
         toxic = now
     margins = np.concatenate([machine.documents(likeness, some) for some in grouped(texts)])
-    machine.scale = _platt(bounded(margins), y)
+    share = np.full(len(varied), VARIANT_SHARE * (y > 0).sum() / len(varied))
+    every = np.concatenate([margins, machine.margins(varied)])
+    machine.scale = _platt(bounded(every), np.append(y, np.ones(len(varied))), np.append(np.ones(len(y)), share))
     return machine
 
 
