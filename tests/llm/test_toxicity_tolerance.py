@@ -75,6 +75,7 @@ def test_varied_insults_alone_in_a_sentence(trained):
     said = lambda words: _rejected(machine, [f"he was really {w} there.".encode() for w in words]).mean()
     put_in = [w[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz") + w[i:] for w in ENGLISH for i in range(1, len(w)) for _ in range(4)]
     left_out = [w[:i] + w[i + 1 :] for w in ENGLISH for i in range(len(w))]
-    alike = [w.replace("i", "1").replace("o", "0").replace("s", "$") for w in ENGLISH] + [" ".join(w) for w in ENGLISH]
+    # Signs at a word's edges count as punctuation, so only those inside stand for letters.
+    alike = [w[0] + w[1:-1].replace("i", "1").replace("o", "0").replace("s", "$") + w[-1] for w in ENGLISH] + [" ".join(w) for w in ENGLISH]
     assert said(ENGLISH) == 1.0 and said(alike) == 1.0
     assert said(put_in) >= 0.8 and said(left_out) >= 0.6
