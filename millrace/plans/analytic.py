@@ -78,7 +78,7 @@ _grouping("p33_rollup", "rollup", "ROLLUP ")
 _grouping("p33_cube", "cube", "CUBE ")
 same_sql(
     "p33_grouping_sets",
-    """SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders
+    """SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders}
        GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())""",
     "orders",
 )

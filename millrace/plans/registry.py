@@ -21,16 +21,14 @@ def query(name: str, sql: str | None = None):
 
 
 def same_sql(name: str, sql: str, *tables: str) -> None:
-    """A query whose Spark SQL and check SQL are one text."""
+    """A query whose Spark SQL and check SQL are one text, with its tables in braces; no view is made in the session."""
 
     def run(spark, sf_dir):
         from millrace.session import table
 
-        for t in tables:
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(sql)
+        return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables})
 
-    _FOUND[name] = (run, sql)
+    _FOUND[name] = (run, sql.format(**{t: t for t in tables}))
 
 
 def _load() -> dict:

@@ -5,6 +5,9 @@ These are fixture-derived: the reference has no relational operators of its own.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.fixpoint import reachable
@@ -37,6 +40,16 @@ def scan(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
 
 
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("p01_scan_all", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _TABLES))
+def scan_all(spark, sf_dir):
+    """The rows of every table."""
+    counts = [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in _TABLES]
+    return reduce(DataFrame.unionAll, counts)
+
+
 @query(
     "p02_projection",
     "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_quantity + 1 AS more FROM lineitem",
@@ -226,8 +239,8 @@ def asof(spark, sf_dir):
 
 same_sql(
     "p18_lateral",
-    """SELECT n_name, t.c_custkey, t.c_acctbal FROM nation,
-       LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) t""",
+    """SELECT n_name, t.c_custkey, t.c_acctbal FROM {nation},
+       LATERAL (SELECT c_custkey, c_acctbal FROM {customer} WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) t""",
     "nation", "customer",
 )
 
@@ -264,14 +277,14 @@ def self_join(spark, sf_dir):
 
 same_sql(
     "p21_scalar_subquery",
-    """SELECT c_custkey, c_acctbal FROM customer c
-       WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer i WHERE i.c_nationkey = c.c_nationkey)""",
+    """SELECT c_custkey, c_acctbal FROM {customer} AS c
+       WHERE c_acctbal > (SELECT avg(c_acctbal) FROM {customer} AS i WHERE i.c_nationkey = c.c_nationkey)""",
     "customer",
 )
 same_sql(
     "p21_exists_in",
-    """SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')
-       AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
+    """SELECT o_orderkey FROM {orders} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')
+       AND o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING')""",
     "orders", "lineitem", "customer",
 )
 
@@ -317,8 +330,8 @@ def recursive(spark, sf_dir):
 
 same_sql(
     "p50_cte",
-    """WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey)
-       SELECT c_custkey, round(total, 2) AS total FROM big JOIN customer ON c_custkey = o_custkey WHERE total > 500000""",
+    """WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM {orders} GROUP BY o_custkey)
+       SELECT c_custkey, round(total, 2) AS total FROM big JOIN {customer} ON c_custkey = o_custkey WHERE total > 500000""",
     "orders", "customer",
 )
 
