@@ -6,9 +6,8 @@ three codes of FAN values each: three softmax levels, each gated by the codes be
 it. It is trained on all training documents in rounds, each over another slice of
 them: in every round, tasks train the same parameters by Adam on their part of the
 slice, and the means of what they changed, weighted by the steps that touched a row,
-are summed by Spark; only the parameters are on the driver. A small input is passed
-over up to MOST_PASSES times. A text is
-scored in windows of CONTEXT + STRIDE ids that overlap by CONTEXT: each id is
+are summed by Spark, in two steps; only the parameters are on the driver. The schedule is
+one for inputs of all sizes. A text is scored in windows of CONTEXT + STRIDE ids that overlap by CONTEXT: each id is
 scored once, in the window where it is one of the last STRIDE, by batched masked
 attention over many windows of many texts at once.
 
@@ -39,7 +38,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.packing import WordIds
@@ -49,8 +48,10 @@ from millrace.session import cut
 CONTEXT, STRIDE = 8, 16
 DIM, HIDDEN, FAN = 16, 32, 37
 EPOCHS, BATCH_WINDOWS, RATE = 3, 128, 1.2e-2
-#: Rounds over the training documents, bytes of text for each training task, and passes over small inputs.
-ROUNDS, TRAIN_BYTES, PASS_BYTES, MOST_PASSES = 8, 16 << 20, 8 << 20, 4
+#: Rounds over the training documents, each over another part of them, and bytes of text for each training task.
+ROUNDS, TRAIN_BYTES = 8, 16 << 20
+#: Parts in which the changes of all training tasks are summed up before they meet.
+SUM_PARTS = 64
 ASIDE_MODULUS = 20
 PRIOR_WEIGHT, PRIOR_WORDS = 0.9, 10
 RATIO_BINS, RATIO_MOST = 16, 64  # bins for a unit of the log ratio, and its bound
@@ -334,7 +335,8 @@ def train_round(model: AttentionModel, docs: DataFrame, tokenizer_path: str, rat
     """Trains ``model`` on all texts of ``docs`` in at most ``tasks`` tasks; returns the steps taken by all."""
     changes = docs.select("text").coalesce(tasks).mapInArrow(_trained(model, tokenizer_path, rate), _CHANGES)
     steps = 0
-    for row in changes.groupBy("param", "chunk").applyInArrow(_summed, _CHANGES).collect():
+    some = changes.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SUM_PARTS))).groupBy("param", "chunk", "part").applyInArrow(_summed, _CHANGES)
+    for row in some.groupBy("param", "chunk").applyInArrow(_summed, _CHANGES).collect():
         rows, weights = np.frombuffer(row["rows"], np.int32), np.frombuffer(row["weights"], np.float32)
         sums = np.frombuffer(row["sums"], np.float32).reshape(len(rows), -1) / weights[:, None]
         if row["param"] in ROWED:
@@ -550,25 +552,21 @@ def fit(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, tr
 
     model, steps = AttentionModel(vocabulary, of_ids), 0
     known = docs.where("train AND text IS NOT NULL")
-    passes = int(np.clip(-(-PASS_BYTES // max(1, learned)), 1, MOST_PASSES))
     tasks = int(learned // train_bytes) + 1
-    slices = ROUNDS if tasks > 1 else 1  # one task alone needs no means
-    rounds = passes * slices
     if learned:
-        for number in range(rounds):
-            part = known.where(~F.col("aside") & (F.col("slice") % slices == number % slices))
-            steps += train_round(model, part, tokenizer_path, RATE * (1 - number / (rounds + 1)), tasks)
+        for number in range(ROUNDS):
+            part = known.where(~F.col("aside") & (F.col("slice") == number))
+            steps += train_round(model, part, tokenizer_path, RATE * (1 - number / (ROUNDS + 1)), tasks)
 
-    sums = Window.partitionBy("word")
-    own = of_words.select("block", "word", F.sum("n").over(sums).alias("total"), F.sum("aside").over(sums).alias("aside"))
-    own = cut(own.select("block", "word", "total", (F.col("total") - F.col("aside")).alias("rest")).repartition(n_blocks, "block"))
+    own = of_words.select("block", "word").join(totals.select("word", "total", (F.col("total") - F.col("aside")).alias("rest")), "word")
+    own = cut(own.repartition(n_blocks, "block"))
     mix = likeliest({})
     if n_aside:
         apart = dealt.where("aside")
         here = own.join(F.broadcast(apart.select("block").distinct()), "block", "left_semi")
         ratios = apart.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_ratio_block(model, tokenizer_path, n_train - n_aside, rest), "bin long, n double")
         mix = likeliest({row["bin"]: row["n"] for row in ratios.groupBy("bin").agg(F.sum("n").alias("n")).collect()})
-        steps += train_round(model, known.where("aside"), tokenizer_path, RATE / (rounds + 1), tasks)
+        steps += train_round(model, known.where("aside"), tokenizer_path, RATE / (ROUNDS + 1), tasks)
     return Fitted(model, mix, steps, n_train, distinct, n_blocks, dealt, own)
 
 

@@ -17,8 +17,9 @@ must be shared by the executors.
 
 Defined results: null text is empty; a payload is padded with zeros to a
 positive multiple of 64 bytes; equal texts give equal media and features; null
-keys come back null, equal keys as often as they were written; an empty table
-gives no archives and no rows. Other columns are not read.
+keys come back null, equal keys as often as they were written and in no order, so
+there are no ties; an empty table gives no archives and no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ direction: more symbols, repeats or duplicate lines never raise it.
 
 Defined results: null text has no words and fails the base rule, as does an
 empty one; without labels of both kinds the trees keep everything that passes
-the base rule; equal rows are scored alike; null ids are kept. Other columns are
-not read.
+the base rule; equal rows are scored alike, and labelled rows of equal hashes are
+chosen by id and label, so ties do not matter; null ids are kept; an empty table
+gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

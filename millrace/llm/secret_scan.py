@@ -19,7 +19,8 @@ Everything happens where the text is read; nothing is shuffled. Offsets are code
 points, ends exclusive.
 
 Defined results: null text is empty and has no spans; equal rows are scanned
-alike; null ids are kept; an empty table gives no rows. Other columns are not
+alike; spans of one start are in the order of their kinds, so there are no ties;
+null ids are kept; an empty table gives no rows. Other columns are not
 read by ``scan`` and are kept by ``redact``.
 """
 
