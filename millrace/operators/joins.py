@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.slices import ROWS_PER_SLICE, carried, sliced
+
 
 #: The axis of a range join has 2 ** AXIS_BITS cells.
 AXIS_BITS = 50
@@ -65,26 +67,26 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return joined.drop("range_level", "range_cell")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str], bucket_seconds: int = 86400) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Each left row with ``values`` of the latest right row of its key at or before its time.
 
-    Rows of both sides are sorted within (key, time bucket), and the last right
-    row of a bucket is carried on to the buckets after it through a table with
-    one row per key and bucket. A key with many rows is thus spread over its
-    buckets. Right rows come first at equal times; null keys match nothing.
+    Rows of both sides are sorted together. Those of a hot key are cut into time
+    slices of about equal numbers of rows, and the last right row of a slice is
+    carried on to the slices after it through a table with one row per key and slice,
+    so a key with any share of the rows is spread over its slices. Right rows come
+    first at equal times; null keys and left rows without a time match nothing.
     """
-    bucket = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (bucket_seconds * 1_000_000))
     payload = F.struct(*[F.col(v) for v in values])
-    mine = left.select(F.struct(*left.columns).alias("asof_row"), F.col(by).alias("asof_key"), F.col(time).alias("asof_time"), bucket.alias("asof_bucket"))
-    other = right.select(F.col(by).alias("asof_key"), F.col(time).alias("asof_time"), bucket.alias("asof_bucket"), payload.alias("asof_value"))
+    mine = left.select(F.struct(*left.columns).alias("asof_row"), F.col(by).alias("asof_key"), F.col(time).alias("asof_time"))
+    other = right.select(F.col(by).alias("asof_key"), F.col(time).alias("asof_time"), payload.alias("asof_value")).where("asof_key IS NOT NULL AND asof_time IS NOT NULL")
     both = mine.withColumn("asof_value", F.lit(None).cast(other.schema["asof_value"].dataType)).unionByName(
         other.withColumn("asof_row", F.lit(None).cast(mine.schema["asof_row"].dataType))
     )
-    keys = Window.partitionBy("asof_key", "asof_bucket").orderBy("asof_time", F.col("asof_value").isNull())
+    both, _ = sliced(both, "asof_key", "asof_time", rows_per_slice)
+    keys = Window.partitionBy("asof_key", "slice").orderBy("asof_time", F.col("asof_value").isNull())
     inside = both.withColumn("asof_found", F.last("asof_value", ignorenulls=True).over(keys)).where("asof_row IS NOT NULL")
-    lasts = both.groupBy("asof_key", "asof_bucket").agg(F.max_by("asof_value", F.when(F.col("asof_value").isNotNull(), F.col("asof_time"))).alias("last"))
-    earlier = Window.partitionBy("asof_key").orderBy("asof_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.withColumn("carried", F.last("last", ignorenulls=True).over(earlier)).select("asof_key", "asof_bucket", "carried")
-    joined = inside.join(carried, ["asof_key", "asof_bucket"], "left")
-    found = F.coalesce("asof_found", "carried")
-    return joined.select("asof_row.*", *[found[v].alias(f"asof_{v}") for v in values])
+    lasts = both.groupBy("asof_key", "slice").agg(F.max_by("asof_value", F.when(F.col("asof_value").isNotNull(), F.col("asof_time"))).alias("last"))
+    earlier = Window.partitionBy("asof_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = lasts.select("asof_key", "slice", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    found = F.when(F.col("asof_time").isNotNull(), F.coalesce("asof_found", "carried"))
+    return carried(inside, before, "asof_key").select("asof_row.*", *[found[v].alias(f"asof_{v}") for v in values])

@@ -19,15 +19,15 @@ def _at(seconds):
     return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_asof_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, rows_per_slice", [(0, 1_000_000), (1, 20), (2, 5)])
+def test_asof_equals_brute_force(spark, seed, rows_per_slice):
     rng = random.Random(seed)
-    left = [(i, rng.choice("ab"), _at(rng.randrange(400_000))) for i in range(60)] + [(99, None, _at(5))]
-    right = [(rng.choice("ab"), _at(t), t) for t in rng.sample(range(400_000), 40)]
-    expected = {i: max((t for r, s, t in right if r == k and s <= at), default=None) for i, k, at in left}
+    left = [(i, rng.choice("aab"), _at(rng.randrange(400_000) if i % 3 else rng.randrange(300))) for i in range(120)] + [(199, None, _at(5)), (200, "a", None)]
+    right = [(rng.choice("ab"), _at(t), t) for t in rng.sample(range(400_000), 40) + rng.sample(range(300), 30)] + [(None, _at(0), 1), ("a", None, 2)]
+    expected = {i: max((t for r, s, t in right if r == k and None not in (k, s, at) and s <= at), default=None) for i, k, at in left}
     a = spark.createDataFrame(left, "i int, k string, t timestamp_ntz")
     b = spark.createDataFrame(right, "k string, t timestamp_ntz, v long")
-    got = {r.i: r.asof_v for r in asof_join(a, b, "k", "t", ["v"], bucket_seconds=50_000).collect()}
+    got = {r.i: r.asof_v for r in asof_join(a, b, "k", "t", ["v"], rows_per_slice).collect()}
     assert got == expected
 
 
