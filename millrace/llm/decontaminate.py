@@ -10,13 +10,14 @@ strings with this suffix, narrowed by a hash of the whole string, and the words
 compared directly. Test strings are distinct in a table, so a window that very many
 items share is compared once. Many stretches of text move on side by side in numpy.
 
-Documents are searched where they are read; nothing of them is shuffled. The
-benchmark is cut into pieces of at most ``PIECE_WORDS`` words (with the words that
-windows need beyond their end), dealt to ``ceil(bytes / GROUP_BYTES)`` groups by the
-hash of item and piece. One round searches for one group's windows and adds to what
-the rounds before have found, so tables and broadcasts keep their size however
-large the benchmark is. Between rounds the documents with their hits are written to
-the shared folder and read again: that is the price of each further ``GROUP_BYTES``.
+Documents are searched where they are read. The benchmark is cut into pieces of at
+most ``PIECE_WORDS`` words (with the words that windows need beyond their end), dealt
+to ``ceil(bytes / GROUP_BYTES)`` groups by the hash of item and piece. One pass over the
+documents searches for one group's windows, so tables and broadcasts keep their size
+however large the benchmark is. With one group that is all, and nothing of the
+documents is shuffled. The passes for further groups write what they find, for texts
+in which they find anything, to the shared folder; it is merged by the texts' digests
+and joined to the documents' ids, so texts themselves are never shuffled or written.
 
 Defined results: null text has no words; items without words ask for nothing; rows
 of one item id are one item, and an item without an id counts as the empty id; equal
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -52,7 +54,6 @@ SHIFT_BITS = 20
 PIECE_WORDS = 1_000
 #: Bytes of benchmark text whose windows are searched in one round.
 GROUP_BYTES = 8 << 20
-_COLUMNS = ("doc_id", "text", "n_words", "hits", "items")
 #: Words of a stretch of text that is searched on its own, side by side with others.
 LANE = 128
 
@@ -199,60 +200,65 @@ def pieces(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return cuts.select("item_id", F.array_join(own, " ").alias("words")).distinct()
 
 
-def _round(tables, window: int, names: list[str]):
+_FOUND = "doc_id long, digest string, n_words long, hits array<struct<begin: long, end: long>>, items array<string>"
+_HITS, _ITEMS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
+
+
+def _pass(tables, window: int, every: bool):
+    """A pass for one group of pieces; of all documents, or only of those with a hit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark = Benchmark(tables.value, window)
         for batch, texts in blocks(batches):
             split = [words_of(t) for t in texts]
-            hits, items = [], []
-            for (own, found), before, known in zip(benchmark.search(split), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                hits.append(_union(before + [{"begin": int(a), "end": int(b)} for a, b in own]))
-                items.append(sorted({*known, *(benchmark.ids[k] for k in found)}))
-            kinds = batch.schema.field(3).type, batch.schema.field(4).type
-            made = [batch.column(0), batch.column(1), pa.array(map(len, split), pa.int64()), pa.array(hits, kinds[0]), pa.array(items, kinds[1])]
-            yield pa.record_batch([made[_COLUMNS.index(c)] for c in names], names=names)
+            found = benchmark.search(split)
+            hits = [[{"begin": int(a), "end": int(b)} for a, b in own] for own, _ in found]
+            items = [[benchmark.ids[k] for k in own] for _, own in found]
+            columns = [batch.column(0), batch.column(1), pa.array(map(len, split), pa.int64()), pa.array(hits, _HITS), pa.array(items, _ITEMS)]
+            made = pa.record_batch(columns, names=["doc_id", "digest", "n_words", "hits", "items"])
+            yield made if every else made.filter(pa.array([bool(i) for i in items], pa.bool_()))
 
     return run
 
 
-def _union(stretches: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for s in sorted(stretches, key=lambda s: s["begin"]):
-        if out and s["begin"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], s["end"])
-        else:
-            out.append(s)
-    return out
-
-
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, hits`` (begin and end of stretches of words) and ``items`` found, of each document."""
+    """``doc_id, n_words, hits`` (begin and end of stretches of words) and ``items`` found, of each document.
+
+    Stretches of one group of pieces are apart from each other; those of several may overlap.
+    """
     spark = docs.sparkSession
-    found = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<begin: long, end: long>>").alias("hits"),
-        F.array().cast("array<string>").alias("items"),
-    )
     asked = pieces(benchmark, window=window)
     total = asked.agg(F.coalesce(F.sum(F.octet_length("words") + F.octet_length("item_id")), F.lit(0))).first()[0]
     groups = max(1, math.ceil(total / GROUP_BYTES))
-    for number in range(groups):
+    text = F.col(text_col)
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256) if groups > 1 else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), text.alias("text"))
+
+    def tables(number: int):
         own = asked.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(groups)) == number)
-        tables = spark.sparkContext.broadcast([(r["item_id"], r["words"]) for r in own.collect()])  # about GROUP_BYTES
-        last = number + 1 == groups
-        names = [c for c in _COLUMNS if not (last and c == "text")]
-        found = found.mapInArrow(_round(tables, window, names), found.select(names).schema)
-        if not last:
-            found = cut(found)
-    return found
+        return spark.sparkContext.broadcast([(r["item_id"], r["words"]) for r in own.collect()])  # about GROUP_BYTES
+
+    found = rows.mapInArrow(_pass(tables(0), window, every=True), _FOUND)
+    if groups == 1:
+        return found.drop("digest")
+    more = []
+    for number in range(1, groups):
+        shared = tables(number)
+        more.append(cut(rows.mapInArrow(_pass(shared, window, every=False), _FOUND).select("digest", "hits", "items")))
+        shared.unpersist()
+    # Copies of a text have equal hits, so a digest keeps one entry for each group.
+    merged = reduce(DataFrame.union, more).groupBy("digest").agg(F.collect_set(F.struct("hits", "items")).alias("more"))
+    every = lambda name: F.flatten(F.concat(F.array(name), F.coalesce(F.col(f"more.{name}"), F.array())))
+    return found.join(merged, "digest", "left").select("doc_id", "n_words", every("hits").alias("hits"), F.array_sort(F.array_distinct(every("items"))).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Counts of words and hit words, and the number and digest of the items found, of every document."""
     found = find(docs, benchmark, id_col, text_col, window)
-    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    more = lambda past, s: F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["begin"], past["upto"]))
+    add = lambda past, s: F.struct((past["n"] + more(past, s)).alias("n"), F.greatest(past["upto"], s["end"]).alias("upto"))
+    hit = F.aggregate(F.array_sort("hits"), start, add, lambda past: past["n"])  # words in the union of the stretches
     return found.select(
         "doc_id",
         "n_words",

@@ -41,7 +41,10 @@ def _found(spark, docs, items):
     a = spark.createDataFrame([(d, t, "x", 1, "y") for d, t in docs], DOCS)
     b = spark.createDataFrame([(i, t, "z") for i, t in items], ITEMS)
     rows = decontaminate.find(a, b).collect()
-    return Counter(repr((r.doc_id, r.n_words, sum(h.end - h.begin for h in r.hits), r["items"])) for r in rows)
+    union = lambda hits: len({i for h in hits for i in range(h.begin, h.end)})
+    told = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(a, b).collect())
+    assert told == Counter((r.doc_id, r.n_words, union(r.hits), len(r["items"]), bool(r.hits)) for r in rows)
+    return Counter(repr((r.doc_id, r.n_words, union(r.hits), r["items"])) for r in rows)
 
 
 def _cases(seed):
@@ -80,6 +83,7 @@ def test_a_benchmark_of_many_groups_gives_the_same(spark, monkeypatch):
     docs, items = _cases(2)
     items += [("long", " ".join(f"v{i % 977}x{i % 13}" for i in range(5_000)))]
     docs += [(99, " ".join(f"v{i % 977}x{i % 13}" for i in range(2_990, 3_020)))]  # over the border of two pieces
+    docs += [docs[-1], (None, docs[-1][1]), (100, None), *[(200 + k, items[0][1]) for k in range(30)]]
     monkeypatch.setattr(decontaminate, "GROUP_BYTES", 12_000)
     assert _found(spark, docs, items) == brute(docs, items)
 
