@@ -290,7 +290,7 @@ def _sets_of(docs: DataFrame, n: int, emit, schema: str) -> DataFrame:
                 seen.clear()
             yield emit(batch, flat, ends, seen)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -327,7 +327,12 @@ def _presence(ids: DataFrame) -> tuple[np.ndarray, int]:
     words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(one).alias("held")).toPandas()
     held = np.zeros(bits // 64, np.int64)
     held[words["word"].to_numpy()] = words["held"].to_numpy()
-    return np.unpackbits(held.view(np.uint8), bitorder="little"), bits
+    return held, bits
+
+
+def _is_held(held: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether the bitmap, packed in 64-bit words, holds each slot."""
+    return (held[slot >> 6] >> (slot & 63)) & 1 > 0
 
 
 def _held(docs: DataFrame, n: int, keys: DataFrame, classes: DataFrame) -> DataFrame:
@@ -337,7 +342,7 @@ def _held(docs: DataFrame, n: int, keys: DataFrame, classes: DataFrame) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for _, texts in blocks(b.filter(pa.array(held[np.asarray(b.column(0))] > 0)) for b in batches):
+        for _, texts in blocks(b.filter(pa.array(_is_held(held, np.asarray(b.column(0))))) for b in batches):
             flat, ends = shingler(texts)
             sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _signed(flat))
             yield pa.record_batch([_signed(fingerprints(flat, ends)), sets], names=["key", "hashes"])
@@ -425,18 +430,32 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_WORDS, percent: int = PERCENT
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return grouped(docs, id_col, text_col, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_WORDS, percent: int = PERCENT, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id``, the group and the ``carry`` columns (long) of every row.
+
+    ``group_key`` tells groups apart also where ids repeat with other texts; it
+    is null for rows without words, which are linked with nothing.
+    """
+    carried = [F.col(c).cast("long").alias(f"carry{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carried, F.col(text_col).alias("text"))
+    docs = rows.select("doc_id", "text")
+    carried = [f"carry{i}" for i in range(len(carry))]
 
     def describe(batch, flat, ends, seen):
         words, bounds = sketches(flat, ends)
         short = folded(words, bounds)
-        columns = [batch.column(0), pa.array(np.diff(ends)), _signed(fingerprints(flat, ends))]
+        columns = [batch.column(c) for c in ("doc_id", *carried)] + [pa.array(np.diff(ends)), _signed(fingerprints(flat, ends))]
         columns += [pa.array(np.ascontiguousarray(short[:, i])) for i in range(SKETCH_WORDS)]
         columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(words)))
-        return pa.record_batch(columns, names=["doc_id", "size", "key", *(f"s{i}" for i in range(SKETCH_WORDS)), "wide"])
+        return pa.record_batch(columns, names=["doc_id", *carried, "size", "key", *(f"s{i}" for i in range(SKETCH_WORDS)), "wide"])
 
-    sketch_columns = ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
-    described = cut(_sets_of(docs, n, describe, f"doc_id long, size long, key long, {sketch_columns}, wide array<long>"))
+    longs = ", ".join(f"{c} long" for c in ("doc_id", *carried, "size", "key", *(f"s{i}" for i in range(SKETCH_WORDS))))
+    described = cut(_sets_of(rows, n, describe, f"{longs}, wide array<long>"))
     alike = ["size", *(f"s{i}" for i in range(SKETCH_WORDS)), "wide"]
     classes = described.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("first_doc"), *(F.first(c).alias(c) for c in alike))
     classes = cut(classes)
@@ -498,7 +517,11 @@ def near_duplicates(
         "key", F.coalesce("root", "key").alias("root"), "first_doc"
     )
     named = firsts.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = firsts.join(named, "root").select("key", "component_id")
+    named = firsts.join(named, "root").select("key", "component_id", F.col("root").alias("group_key"))
     return described.join(named, "key", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id",
+        F.col("size").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        "group_key",
+        *(F.col(c).alias(name) for c, name in zip(carried, carry)),
     )
