@@ -2,19 +2,22 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of ``documents``,
 but for the last, which returns packed pieces. ``run`` chains the stages over
-``documents``; each result is written as Parquet to the shared folder and reread.
+``documents``; each result is written as Parquet to the shared folder and reread;
+the folder of a stage goes once the next one is written (the last one's input stays,
+as the result is computed from it).
 
 Nulls: null texts count as empty and stay null in the table; null ids are kept.
 An empty table gives no pieces. Extra columns pass through to the last stage.
 Ties: of linked documents the smallest id stays; documents of equal mixing keys
-are ordered by id and size. The mixing stage writes its rows in training order;
-packing keeps that order within each file that it reads, not between files.
+are ordered by id and size. The mixing stage writes its rows in training order,
+and packing goes by it: sequence ids rise with the training position.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,19 +33,21 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays.
+    """Of each group of linked documents the row with the smallest id stays; one row.
 
-    Rows that repeat an id with the same text count as one document. Rows that
-    repeat an id with another text stay with it, and rows without an id cannot be
-    told apart by it: all of them stay if one of them is the first of its group.
+    Rows are told apart by two 64-bit digests of all their columns, so it does
+    not matter whether ids repeat or are null (null ids come last). Rows without
+    words are linked with nothing and stay; rows equal in all columns count as one.
     """
-    found = ngram_join.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
-    repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeats:
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    digests = [f"{max(docs.columns, key=len)}_digest{i}" for i in range(2)]  # longer than any name, so none clashes
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    told = [*columns, *(c.isNull() for c in columns)]
+    rows = docs.select(*columns, *(F.xxhash64(F.lit(i), *told).alias(d) for i, d in enumerate(digests)))
+    found = ngram_join.grouped(rows, carry=tuple(digests))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *digests)).alias("first")
+    chosen = found.where("group_key IS NOT NULL").groupBy("group_key").agg(first).select("first.*")
+    chosen = chosen.select(*digests).union(found.where("group_key IS NULL").select(*digests))
+    return rows.join(chosen, digests, "left_semi").dropDuplicates(digests).select(*docs.columns)
 
 
 def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +60,32 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` in the order in which its files were written, spread over partitions by range.
+
+    Spark deals files to tasks by their size; the number in a file's name and a
+    row's number in its file give the order in which a sorted table was written.
+    Rows that come from no file keep the order of their partitions.
+    """
+    try:
+        file = docs.metadataColumn("_metadata")
+        place = [F.regexp_extract(file["file_name"], r"^part-(\d+)", 1).try_cast("long"), file["file_name"], file["row_index"]]
+        placed = docs.select("*", F.struct(*(c.alias(f"p{i}") for i, c in enumerate(place))).alias("_place"))
+    except AnalysisException:
+        placed = docs.withColumn("_place", F.struct(F.monotonically_increasing_id().alias("p0")))
+    order = [F.col(f"_place.{c}") for c in placed.schema["_place"].dataType.names]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_place")
+
+
 def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, with their ids, packed into sequences of 2048."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    """Pieces of the documents, with their ids, packed into sequences of 2048; sequence ids rise with the training order."""
+    return packing.pack(in_order(docs.select("doc_id", "text")), tokenizer_path("word_bpe_49k.json"))
+
+
+def remove(spark, path: str) -> None:
+    """Removes a folder of this run, whatever file system it is on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 STAGES = [
@@ -80,4 +108,6 @@ def run(spark, sf_dir: str) -> DataFrame:
         if number < len(STAGES):
             docs.write.parquet(f"{folder}/{number}")
             docs = spark.read.parquet(f"{folder}/{number}")
+            if number > 1:
+                remove(spark, f"{folder}/{number - 1}")
     return docs
