@@ -43,3 +43,17 @@ def test_it_equals_the_exact_aggregate_for_two_keys_and_no_key(spark):
     whole = exact_percentile(frame, [], "x", 0.9, 500).collect()
     assert [r.percentile for r in whole] == [pytest.approx(frame.agg(F.percentile("x", 0.9)).first()[0])]
     assert exact_percentile(frame.where("false"), ["a"], "x", 0.5).count() == 0
+
+
+def test_a_hot_group_takes_one_round_and_its_rows_stay_where_they_are(spark, monkeypatch):
+    rounds = []
+    narrowed = quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *given: rounds.append(1) or narrowed(*given))
+    frame = spark.range(300_000).select((F.col("id") % 2 == 0).alias("k"), F.xxhash64("id").cast("double").alias("x"))
+    want = {r.k: r.p for r in frame.groupBy("k").agg(F.percentile("x", 0.25).alias("p")).collect()}
+    found = exact_percentile(frame, ["k"], "x", 0.25, 1_000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.percentile for r in found.collect()} == pytest.approx(want) and len(rounds) == 1
+    assert "SortMergeJoin" not in plan.split("Window")[-1] and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(quantiles, "SENT_RANGES", 0)
+    assert {r.k: r.percentile for r in exact_percentile(frame, ["k"], "x", 0.25, 1_000).collect()} == pytest.approx(want)
