@@ -156,8 +156,9 @@ def _rocks_db(spark):
 def timers(spark, sf_dir):
     """The sessions of p45 that a timer closes: all but those still open at the last watermark."""
     stream = _in_time_order(spark, sf_dir, "user_id", "ts").withWatermark("ts", "10 minutes")
+    users = table(spark, sf_dir, "events").agg(F.approx_count_distinct("user_id")).first()[0]
     with _rocks_db(spark):
-        closed = drained(timed_sessions(stream.withColumn("micros", F.unix_micros("ts")), "user_id", 1800))
+        closed = drained(timed_sessions(stream.withColumn("micros", F.unix_micros("ts")), "user_id", 1800, users))
     at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return closed.select(F.col("key").alias("user_id"), at("first").alias("session_start"), at("last").alias("session_end"), "n")
 

@@ -1,13 +1,14 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.plans.streams import hourly
+from millrace.plans.streams import _rocks_db, hourly
 from millrace.session import shared_dir
-from millrace.streaming.runs import arriving, dropped_late, run_to_end
-from millrace.streaming.timers import merged
+from millrace.streaming.runs import arriving, drained, dropped_late, run_to_end
+from millrace.streaming.timers import folded, merged, timed_sessions
 from millrace.streaming.upserts import UpsertSink
 
 
@@ -49,6 +50,29 @@ def test_sessions_merge_in_any_order(seed):
     assert all(b[0] - a[1] >= 40 for a, b in zip(whole, whole[1:]))
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_sessions_of_many_keys_fold_as_those_of_each(seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", "b", None, "9007199254740993"]), t, t + rng.choice([0, 0, 70]), rng.randrange(1, 4)) for t in (rng.randrange(3_000) for _ in range(rng.choice([0, 1, 90])))]
+    got = folded(pd.DataFrame(rows, columns=["key", "first", "last", "n"]).astype({"key": object, "first": "int64", "last": "int64", "n": "int64"}), 40)
+    want = [(k, *s) for k in {r[0] for r in rows} for s in merged([r[1:] for r in rows if r[0] == k], 40)]
+    assert sorted(got.itertuples(index=False, name=None), key=repr) == sorted(want, key=repr)
+
+
+def test_keys_share_slots_and_timers(spark):
+    """Fewer groups than keys; null and large keys; what the last watermark has not passed stays open."""
+    times = {2**53 + 1: [0, 30, 500, 5_000, 9_990], 7: [10, 9_000, 9_020], None: [20, 25, 8_000], **{k: [k] for k in range(100, 180)}}
+    rows = [(k, _at(s)) for k, own in times.items() for s in own]
+    frame = spark.createDataFrame(rows, "k long, ts timestamp")
+    stream = arriving(frame, (F.col("ts") >= F.lit(_at(6_000))).cast("int"), 2).withWatermark("ts", "10 seconds")
+    with _rocks_db(spark):
+        closed = drained(timed_sessions(stream.withColumn("micros", F.unix_micros("ts")), "k", 60))
+    start = int(_at(0).timestamp() * 1e6)
+    want = [(k, a, b, n) for k, own in times.items() for a, b, n in merged([(s, s, 1) for s in own], 60) if b + 60 <= 9_980]
+    got = [(r["key"], (r["first"] - start) // 10**6, (r["last"] - start) // 10**6, r["n"]) for r in closed.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_a_replayed_batch_leaves_one_row_per_key(spark):
     sink = UpsertSink(f"{shared_dir(spark)}/upserts-{random.random()}", ("k",))
     make = lambda rows: spark.createDataFrame(rows, "k string, n long")
