@@ -30,8 +30,10 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,8 @@ VOCABULARY_LIMIT, VOCABULARY_KEPT = 400_000, 150_000
 #: Plain words tokenized as one text, and words whose encodings are held at once.
 WORDS_PER_CALL, WORDS_AT_ONCE = 256, 4096
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Words of one or two pre-tokens: Latin-1 letters, and signs after them (an apostrophe might take letters with it).
+_PLAIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+([!-&(-/:-@[-`{-~]*)")
 _SPACES = bytes.maketrans(b"\t\n\r", b"   ")
 
 
@@ -91,26 +95,35 @@ class WordIds:
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, ids per word).
 
-        Words of Latin-1 letters are one pre-token each, which ends with the only
-        id of a word end in it; many of them go through one call, parted by spaces.
+        Words of Latin-1 letters are one pre-token each, and signs after the letters
+        one more; each ends with the only id of a word end in it. Many of them go
+        through one call, parted by spaces.
         """
-        plain = [i for i, w in enumerate(words) if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
-        other = [i for i, w in enumerate(words) if not (w.isalpha() and (w.isascii() or max(w) < "\u0100"))]
+        plain, other, pieces = [], [], []
+        for i, word in enumerate(words):
+            if found := _PLAIN.fullmatch(word):
+                plain.append(i)
+                pieces.append(2 if found[1] else 1)
+            else:
+                other.append(i)
         joined = [" ".join([words[i] for i in plain[a : a + WORDS_PER_CALL]]) for a in range(0, len(plain), WORDS_PER_CALL)]
-        flat = np.fromiter((i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids), np.uint32)
-        after = np.flatnonzero(self.closes[flat]) + 1
-        if len(after) != len(plain):
+        flat = self._ids(joined)
+        after, last = np.flatnonzero(self.closes[flat]) + 1, np.cumsum(pieces, dtype=np.int64) - 1
+        if len(after) != sum(pieces):
             raise ValueError("the tokenizer does not end each word with one word-end id")
         single = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False)]
         counts = np.zeros(len(words), np.int64)
-        counts[plain] = np.diff(after, prepend=0)
+        counts[plain] = np.diff(after[last], prepend=0)
         counts[other] = [len(ids) for ids in single]
         ids = np.zeros(int(counts.sum()), np.uint32)
         first = np.cumsum(counts) - counts
         ids[spread(first[plain], counts[plain])] = flat
-        ids[spread(first[other], counts[other])] = np.fromiter((i for one in single for i in one), np.uint32)
+        ids[spread(first[other], counts[other])] = np.fromiter(chain.from_iterable(single), np.uint32)
         return ids, counts
 
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+
     def forget(self) -> None:
         self.codes = Codes()
         self.ids = np.zeros(0, np.uint32)
