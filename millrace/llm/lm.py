@@ -21,7 +21,8 @@ trained on in a last round afterwards. Words never seen rest on the attention al
 Scale: documents are dealt to blocks of about BLOCK_BYTES of text; each block
 sends its distinct words, as 64-bit hashes with counts, to be summed and gets
 the sums of its own words back, so that no table of all words is held anywhere
-and a frequent word moves one row per block instead of one per document.
+and a frequent word moves one row per block instead of one per document. What a
+step has shuffled goes from the disk before the next one.
 
 Defined results: null text is empty and consists of its end; a table without
 training documents gives counts of 0 and an untrained attention model; if none is
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.packing import WordIds
 from millrace.llm.textcodes import Codes, blocks, crc_remainder, split_words, spread
-from millrace.session import cut
+from millrace.session import cut, release
 
 CONTEXT, STRIDE = 8, 16
 DIM, HIDDEN, FAN = 16, 32, 37
@@ -539,6 +540,7 @@ def fit(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, tr
     block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)).alias("block")
     dealt = docs.select("doc_id", "text", "train", "aside", block).repartition(n_blocks, "block")
     counts = cut(dealt.groupBy("block").applyInArrow(_count_block(tokenizer_path), _COUNTS))
+    release(docs.sparkSession)  # the shuffle of all texts
     of_words = counts.where("id IS NULL")
     totals = of_words.groupBy("word").agg(F.sum("n").alias("total"), F.sum("aside").alias("aside"))
     n_train, distinct, n_aside, rest = totals.agg(
@@ -560,6 +562,8 @@ def fit(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, tr
 
     own = of_words.select("block", "word").join(totals.select("word", "total", (F.col("total") - F.col("aside")).alias("rest")), "word")
     own = cut(own.repartition(n_blocks, "block"))
+    del counts, of_words, totals
+    release(docs.sparkSession)
     mix = likeliest({})
     if n_aside:
         apart = dealt.where("aside")
@@ -567,6 +571,8 @@ def fit(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, tr
         ratios = apart.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_ratio_block(model, tokenizer_path, n_train - n_aside, rest), "bin long, n double")
         mix = likeliest({row["bin"]: row["n"] for row in ratios.groupBy("bin").agg(F.sum("n").alias("n")).collect()})
         steps += train_round(model, known.where("aside"), tokenizer_path, RATE / (ROUNDS + 1), tasks)
+        del here, ratios
+        release(docs.sparkSession)
     return Fitted(model, mix, steps, n_train, distinct, n_blocks, dealt, own)
 
 
