@@ -36,7 +36,8 @@ still in different components are compared in a second round, in blocks of at
 most BLOCK classes, behind lower bounds on the difference (sizes, and parity
 sketches: each element flips one bit, so the bits that differ are at most the
 elements that differ). A sketch of 256 bits thins out the pairs where they are
-made, one of as many bits as the set has elements those that are left. Pairs are
+made, one of as many bits as the set has elements those that are left. A pair comes
+out of its first common bucket and of few others. Pairs are
 verified by the exact sizes of intersection and union. Components are closed by
 alternating large-star and small-star steps. What is quadratic is left to buckets
 whose classes are like each other in most parts and yet not linked.
@@ -84,6 +85,8 @@ FAMILY = 1 << FAMILY_BITS
 NEIGHBOURS, LINE = 2, 4096
 SKETCH_WORDS = 4
 BLOCK = 512
+#: Buckets of a class that it has with it where it meets others, to tell whether they have met before.
+RECALLED = 16
 #: Largest bitmap of wanted texts that tasks are given, and its bits for each of them.
 PRESENT_BITS, BITS_EACH = 1 << 26, 16
 #: Words that a task remembers, how many of them it keeps beyond that, and fingerprints that it remembers.
@@ -426,6 +429,42 @@ def _chain(sketched: DataFrame, percent: int) -> DataFrame:
     return pairs.distinct()
 
 
+def _meetings(apart: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), a < b, of classes of a bucket that are in different components and may be linked.
+
+    ``apart`` holds ``bucket, key, root, size`` and the short sketches. Classes that
+    are much alike share most of their buckets, so a pair meets only where none of
+    the RECALLED buckets before this one, in one order for all, is common to both:
+    in its first common bucket always, and in few others.
+    """
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(-RECALLED, -1)
+    members = apart.groupBy("bucket").agg(F.count("*").alias("members"))
+    apart = cut(apart.withColumn("before", F.collect_list("bucket").over(before)).join(members, "bucket"))
+    block_count = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = apart.withColumn("block", F.pmod(F.xxhash64("key"), block_count).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), block_count - 1))
+    )
+    meet = [F.col("bucket"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
+    side = lambda s: dealt.select(
+        *meet,
+        F.col("block").alias(f"block_{s}"),
+        F.col("key").alias(s),
+        F.col("root").alias(f"root_{s}"),
+        F.col("size").alias(f"size_{s}"),
+        F.col("before").alias(f"before_{s}"),
+        *(F.col(f"s{i}").alias(f"s{s}{i}") for i in range(SKETCH_WORDS)),
+    )
+    return (
+        side("a")
+        .join(side("b"), ["bucket", "lo", "hi"])
+        .where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
+        .where((F.col("block_a") != F.col("block_b")) | (F.col("lo") == F.col("hi")))
+        .where(_may_link(percent))
+        .where(~F.arrays_overlap("before_a", "before_b"))
+        .select("a", "b")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -484,32 +523,8 @@ def grouped(
 
     # Round 2: classes that share a bucket and are still apart.
     roots = components(links)
-    apart = _apart(shared, roots)
-    members = apart.groupBy("bucket").agg(F.count("*").alias("members"))
-    apart = cut(apart.join(members, "bucket").join(classes.drop("first_doc", "wide"), "key"))
-    block_count = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = apart.withColumn("block", F.pmod(F.xxhash64("key"), block_count).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), block_count - 1))
-    )
-    meet = [F.col("bucket"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
-    side = lambda s: dealt.select(
-        *meet,
-        F.col("block").alias(f"block_{s}"),
-        F.col("key").alias(s),
-        F.col("root").alias(f"root_{s}"),
-        F.col("size").alias(f"size_{s}"),
-        *(F.col(f"s{i}").alias(f"s{s}{i}") for i in range(SKETCH_WORDS)),
-    )
-    pairs = (
-        side("a")
-        .join(side("b"), ["bucket", "lo", "hi"])
-        .where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
-        .where((F.col("block_a") != F.col("block_b")) | (F.col("lo") == F.col("hi")))
-        .where(_may_link(percent))
-        .select("a", "b")
-        .distinct()
-        .join(chain, ["a", "b"], "left_anti")
-    )
+    apart = _apart(shared, roots).join(classes.drop("first_doc", "wide"), "key")
+    pairs = _meetings(apart, percent).distinct().join(chain, ["a", "b"], "left_anti")
     more = _verified(cut(pairs), docs, n, classes, percent)
     roots = components(links.union(more))
 
