@@ -40,6 +40,7 @@ are kept; an empty table gives no rows. Other columns are not read by
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.textcodes import Codes, blocks, crc_remainder, grouped, split_words, spread
+from millrace.llm.textcodes import Codes, blocks, crc_remainder, give_back, grouped, split_words, spread
 
 SPAN, DECAY, FLOOR, POWER = 7, 0.9, 0.65, 2
 STEM_LEAST, STEM_MOST, SLACK = 3, 12, 2
@@ -561,8 +562,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, id_col: st
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["fit_id"]).select("fit_id", "fit_label", "text")
-    rows = texts.orderBy(F.xxhash64("fit_id"), "fit_id", "fit_label", F.xxhash64("text")).limit(fit_docs).toArrow()
-    return train(rows.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), np.asarray(rows.column("fit_label")))
+    rows = texts.orderBy(F.xxhash64("fit_id"), "fit_id", "fit_label", F.xxhash64("text")).limit(fit_docs).select("text", "fit_label")
+    fitted = rows.mapInArrow(_fitted, "machine binary").collect()
+    return pickle.loads(fitted[0].machine) if fitted else train([], np.zeros(0, np.int32))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the machine trained on the rows of a task; the texts and what training takes stay off the driver."""
+    texts, labels = [], [np.zeros(0, np.int32)]
+    for batch in batches:
+        texts += batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+        labels.append(np.asarray(batch.column("fit_label")))
+    machine = pickle.dumps(train(texts, np.concatenate(labels)))
+    del texts, labels
+    give_back()
+    yield pa.record_batch([pa.array([machine], pa.binary())], names=["machine"])
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
