@@ -21,7 +21,8 @@ trained on in a last round afterwards. Words never seen rest on the attention al
 Scale: documents are dealt to blocks of about BLOCK_BYTES of text; each block
 sends its distinct words, as 64-bit hashes with counts, to be summed and gets
 the sums of its own words back, so that no table of all words is held anywhere
-and a frequent word moves one row per block instead of one per document. What a
+and a frequent word moves one row per block instead of one per document. The
+training documents are tokenized there, once: the rounds read ids. What a
 step has shuffled goes from the disk before the next one.
 
 Defined results: null text is empty and consists of its end; a table without
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.packing import WordIds
-from millrace.llm.textcodes import Codes, blocks, crc_remainder, split_words, spread
+from millrace.llm.textcodes import Codes, crc_remainder, give_back, split_words, spread
 from millrace.session import cut, release
 
 CONTEXT, STRIDE = 8, 16
@@ -57,11 +58,13 @@ ASIDE_MODULUS = 20
 PRIOR_WEIGHT, PRIOR_WORDS = 0.9, 10
 RATIO_BINS, RATIO_MOST = 16, 64  # bins for a unit of the log ratio, and its bound
 CHUNK_ROWS = 256
+MANY = 32  # places of one pair of codes that are worth a product of their own
 #: Parameters with a row for each id or code, of which a step touches few.
 ROWED = frozenset({"E", "G2", "b2", "G3", "b3"})
 BLOCK_BYTES = 16 << 20
-MOST_WORDS = 500_000  # distinct words that a training task remembers
+LEARN_IDS = 350_000  # ids whose windows a training task shuffles, about 1 MB of text
 PIECE_BYTES = 1 << 20
+WORDS_PACKED = 1 << 16  # words of a block in one row
 SCORE_WINDOWS = 256
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 END_HASH = -1  # stands for the end token among the word hashes
@@ -92,8 +95,9 @@ def _log_pick(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
 def _row_sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows of ``index``, and the sums of the ``values`` of each."""
     order = np.argsort(index, kind="stable")
-    rows, starts = np.unique(index[order], return_index=True)
-    return rows, np.add.reduceat(values[order], starts, axis=0)
+    ordered = index[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[starts], np.add.reduceat(values[order], starts, axis=0)
 
 
 def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,6 +120,8 @@ class AttentionModel:
         rank = np.empty(vocabulary + 1, np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(vocabulary + 1)
         self.codes = np.stack([rank % FAN, rank // FAN % FAN, rank // FAN**2], axis=1)
+        self.pair = (self.codes[:, 0] * FAN + self.codes[:, 1]).astype(np.int16)  # sorts by radix
+        self.id_type = np.min_scalar_type(vocabulary)
         mass = np.zeros(FAN**3)
         mass[(self.codes * [FAN**2, FAN, 1]).sum(axis=1)] = counts + 0.05
         mass = mass.reshape(FAN, FAN, FAN) + 1e-6
@@ -142,22 +148,6 @@ class AttentionModel:
         mask[first, :CONTEXT] = -1e9
         return inputs, mask
 
-    def _hidden(self, inputs, mask):
-        p = self.p
-        x = p["E"][inputs] + p["P"]
-        asked = x[:, CONTEXT:]
-        q, k, v = asked @ p["Q"], x @ p["K"], x @ p["V"]
-        q *= np.float32(DIM**-0.5)
-        a = q @ k.transpose(0, 2, 1)
-        a += self.causal
-        first = np.flatnonzero(mask[:, 0])
-        a[first] += mask[first, None, :]
-        a = _softmax(a)
-        mixed = a @ v
-        h = asked + mixed @ p["O"]
-        m = np.maximum(h @ p["U"] + p["u"], 0)
-        return x, asked, q, k, v, a, mixed, h, m, h + m @ p["D"]
-
     def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log probability of each id, of texts laid end to end, each closed by the end id.
 
@@ -195,14 +185,15 @@ class AttentionModel:
                 place, h = place[scored], h[scored.reshape(-1)]
             target = ids[place]
             c1, c2 = first_code[target], second_code[target]
-            logs = _log_pick(h @ p["W1"] + p["b1"], c1)
-            z = (h * p["G2"][c1]) @ p["W2"]
-            z += p["b2"][c1]
-            logs += _log_pick(z, c2)
-            c12 = c1 * FAN + c2
-            z = (h * p["G3"][c12]) @ p["W3"]
-            z += p["b3"][c12]
-            logs += _log_pick(z, third_code[target])
+            z = h @ p["W1"]
+            z += p["b1"]
+            logs = _log_pick(z, c1)
+            for level, row, pick in ((2, c1, c2), (3, c1 * FAN + c2, third_code[target])):
+                gated = p[f"G{level}"].take(row, axis=0)
+                gated *= h
+                z = gated @ p[f"W{level}"]
+                z += p[f"b{level}"].take(row, axis=0)
+                logs += _log_pick(z, pick)
             out[place] = logs
         return out
 
@@ -227,80 +218,172 @@ class AttentionModel:
             now = np.float32(rate / (1 - 0.9**self.step) * np.sqrt(1 - 0.99**self.step))
             for k, g in self._gradients(ids, starts[w], sizes[w], firsts[w]).items():
                 rows, g = g if k in ROWED else (slice(None), g)
-                one = self.m1[k][rows] * np.float32(0.9) + np.float32(0.1) * g
-                two = self.m2[k][rows] * np.float32(0.99) + np.float32(0.01) * g * g
+                one, two = self.m1[k][rows] * np.float32(0.9), self.m2[k][rows] * np.float32(0.99)
+                one += np.float32(0.1) * g
+                g *= g
+                g *= np.float32(0.01)
+                two += g
                 self.m1[k][rows], self.m2[k][rows] = one, two
-                self.p[k][rows] -= now * one / (np.sqrt(two) + np.float32(1e-8))
+                np.sqrt(two, out=two)
+                two += np.float32(1e-8)
+                one *= now
+                one /= two
+                self.p[k][rows] -= one
                 if touched is not None:
                     touched[k][rows if k in ROWED else 0] += 1
 
     def _gradients(self, ids, start, size, first) -> dict:
-        p = self.p
+        """Gradients of the mean cross-entropy; of ROWED parameters as (rows, their gradients).
+
+        Adjacent matrices are multiplied out as in ``score``, and the scored places are in order
+        of their first two codes, so that those of a code meet in one product, bias included.
+        """
+        p, scale = self.p, np.float32(DIM**-0.5)
         inputs, mask = self._gather(ids, start, first)
-        x, asked, q, k, v, a, mixed, h, m, top = self._hidden(inputs, mask)
-        scored = np.arange(STRIDE) < size[:, None]
-        place = (start[:, None] + np.arange(STRIDE))[scored]
-        code = self.codes[ids[place]]
-        hs, rows, n = top[scored], np.arange(len(place)), np.float32(len(place))
-        g = {}
-        dhs = np.zeros_like(hs)
-        for level, gate, index in ((1, None, None), (2, "G2", code[:, 0]), (3, "G3", code[:, 0] * FAN + code[:, 1])):
-            w, b = p[f"W{level}"], p[f"b{level}"]
-            seen = hs if gate is None else hs * p[gate][index]
-            d = _softmax(seen @ w + (b if index is None else b[index]))
-            d[rows, code[:, level - 1]] -= 1
-            d /= n
-            g[f"W{level}"] = seen.T @ d
-            back = d @ w.T
-            if gate is None:
-                g["b1"] = d.sum(axis=0)
-                dhs += back
-            else:
-                rows_of, sums = _row_sums(index, np.hstack([d, back * hs]))
-                g[f"b{level}"], g[gate] = (rows_of, sums[:, :FAN]), (rows_of, sums[:, FAN:])
-                dhs += back * p[gate][index]
+        x = p["E"][inputs]
+        x += p["P"]
+        keys = x.transpose(0, 2, 1)
+        ask, say = p["Q"] @ p["K"].T * scale, p["V"] @ p["O"]
+        wide = lambda z: z.reshape(len(x), STRIDE, -1)
+        flat = lambda z: z.reshape(-1, z.shape[-1])
+        asked = flat(x[:, CONTEXT:])
+        left = np.empty((len(x), 2 * STRIDE, CONTEXT + STRIDE), np.float32)  # attention, and its gradient before the softmax
+        right = np.empty((len(x), 2 * STRIDE, DIM), np.float32)  # gradient of the mix, and the questions
+        a, asks = left[:, :STRIDE], right[:, STRIDE:]
+        asks[:] = wide(asked @ ask)
+        np.matmul(asks, keys, out=a)
+        a += self.causal
+        begins = np.flatnonzero(mask[:, 0])
+        a[begins] += mask[begins, None, :]
+        if a.max(initial=0) > _MOST:
+            np.minimum(a, _MOST, out=a)
+        np.exp(a, out=a)
+        a /= (a @ np.ones(CONTEXT + STRIDE, np.float32))[:, :, None]
+        mixed = flat(a @ x)
+        h = asked + mixed @ say
+        m = h @ p["U"]
+        m += p["u"]
+        np.maximum(m, 0, out=m)
+        top = h + m @ p["D"]
+
+        scored = np.flatnonzero(np.arange(STRIDE) < size[:, None])
+        target = ids[(start[:, None] + np.arange(STRIDE)).reshape(-1)[scored]]
+        order = np.argsort(self.pair[target], kind="stable")
+        scored, target = scored[order], target[order]
+        seen = np.ones((len(target), DIM + 1), np.float32)
+        seen[:, :DIM] = top.take(scored, axis=0)
+        dhs, g = self._code_gradients(seen, target)
         dtop = np.zeros_like(top)
         dtop[scored] = dhs
-        flat = lambda z: z.reshape(-1, z.shape[-1])
-        dm = (dtop @ p["D"].T) * (m > 0)
-        g["D"], g["U"], g["u"] = flat(m).T @ flat(dtop), flat(h).T @ flat(dm), flat(dm).sum(axis=0)
+
+        dm = dtop @ p["D"].T
+        dm *= m > 0
+        g["D"], g["U"], g["u"] = m.T @ dtop, h.T @ dm, np.ones(len(dm), np.float32) @ dm
         dh = dtop + dm @ p["U"].T
-        g["O"] = flat(mixed).T @ flat(dh)
-        dmixed = dh @ p["O"].T
-        da = dmixed @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dmixed
-        ds = a * (da - (da * a).sum(axis=-1, keepdims=True))
-        dq, dk = ds @ k * np.float32(DIM**-0.5), ds.transpose(0, 2, 1) @ q  # q is scaled already
-        g["Q"], g["K"], g["V"] = flat(asked).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, CONTEXT:] += dh + dq @ p["Q"].T
-        g["P"] = dx.sum(axis=0)
-        g["E"] = _row_sums(inputs.reshape(-1), flat(dx))
+        dmixed = dh @ say.T
+        right[:, :STRIDE] = wide(dmixed)
+        own = (dmixed * mixed) @ np.ones(DIM, np.float32)
+        da = right[:, :STRIDE] @ keys
+        da -= wide(own)
+        ds = np.multiply(a, da, out=left[:, STRIDE:])
+        dasks = flat(ds @ x)
+        dsay, dask = mixed.T @ dh, asked.T @ dasks * scale
+        g["V"], g["O"] = dsay @ p["O"].T, p["V"].T @ dsay
+        g["Q"], g["K"] = dask @ p["K"], dask.T @ p["Q"]
+        dx = left.transpose(0, 2, 1) @ right
+        dh += dasks @ ask.T
+        dx[:, CONTEXT:] += wide(dh)
+        g["P"] = (np.ones(len(dx), np.float32) @ dx.reshape(len(dx), -1)).reshape(dx.shape[1:])
+        g["E"] = _row_sums(inputs.reshape(-1).astype(self.id_type), flat(dx))
         return g
 
-
-def _ids_of(words: "_Words", texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts with the end id after each, and the ids per text."""
-    codes, ends = words([t.lower() for t in texts])
-    ids, per_word = words.ids_of(codes) if len(codes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    upto = np.concatenate([[0], np.cumsum(per_word)])[ends]
-    return np.insert(ids, upto[1:], end), np.diff(upto) + 1
+    def _code_gradients(self, seen: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, dict]:
+        """Gradients of the tops ``seen`` (with a column of ones), in order of their targets' pairs of codes, and of the output."""
+        p, g, n, pair = self.p, {}, len(target), self.pair[target]
+        first_code = pair // FAN
+        row, ones = np.arange(n), np.ones(FAN, np.float32)
+
+        def slopes(z, picks):
+            if z.max(initial=0) > _MOST:
+                np.minimum(z, _MOST, out=z)
+            np.exp(z, out=z)
+            z *= (1 / (n * (z @ ones)))[:, None]
+            z[row, picks] -= np.float32(1 / n)
+            return z
+
+        d = slopes(seen @ np.vstack([p["W1"], p["b1"]]), first_code)
+        both = seen.T @ d
+        g["W1"], g["b1"] = both[:DIM], both[DIM]
+        dhs = d @ p["W1"].T
+
+        for level, key, least in ((2, first_code, 1), (3, pair, MANY)):
+            w, gate, bias = p[f"W{level}"], p[f"G{level}"], p[f"b{level}"]
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(begin, append=n)
+            rows, large = key[begin], size >= least
+            many, few = np.flatnonzero(large), np.flatnonzero(~large)
+            gates = gate[rows[many], :, None]
+            ws = np.concatenate([gates * w, bias[rows[many], None, :]], axis=1)
+            spans = list(zip(begin[many].tolist(), (begin + size)[many].tolist()))
+            z = np.empty((n, FAN), np.float32)
+            for (i, j), own in zip(spans, ws):
+                np.matmul(seen[i:j], own, out=z[i:j])
+            if len(few):
+                rest = np.flatnonzero(np.repeat(~large, size))
+                some, own = seen.take(rest, axis=0)[:, :DIM], gate.take(key[rest], axis=0)
+                gated = some * own
+                logits = gated @ w
+                logits += bias.take(key[rest], axis=0)
+                z[rest] = logits
+            d = slopes(z, self.codes[target, level - 1])
+            sums = np.empty((len(many), DIM + 1, FAN), np.float32)
+            backs = np.ascontiguousarray(ws[:, :DIM].transpose(0, 2, 1))
+            for (i, j), back, out in zip(spans, backs, sums):
+                part = d[i:j]
+                np.matmul(seen[i:j].T, part, out=out)
+                dhs[i:j] += part @ back
+            dgate, dbias = np.empty((len(rows), DIM), np.float32), np.empty((len(rows), FAN), np.float32)
+            dgate[many], dbias[many] = (sums[:, :DIM] * w).sum(axis=2), sums[:, DIM]
+            dw = (sums[:, :DIM] * gates).sum(axis=0)
+            if len(few):
+                part = d.take(rest, axis=0)
+                back = part @ w.T
+                dw += gated.T @ part
+                dhs[rest] += back * own
+                back *= some
+                at = np.cumsum(size[few]) - size[few]
+                dgate[few], dbias[few] = np.add.reduceat(back, at, axis=0), np.add.reduceat(part, at, axis=0)
+            g[f"W{level}"], g[f"G{level}"], g[f"b{level}"] = dw, (rows, dgate), (rows, dbias)
+        return dhs, g
 
 
 _CHANGES = "param string, chunk int, rows binary, weights binary, sums binary"
 
 
-def _trained(model: AttentionModel, tokenizer_path: str, rate: float):
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of texts laid end to end and the ids per text, some LEARN_IDS at once."""
+    held, size = [], 0
+    for batch in batches:
+        for ids, lengths in zip(batch.column("ids").to_pylist(), batch.column("lengths").to_pylist()):
+            lengths = np.frombuffer(lengths, np.int64)
+            size += int(lengths.sum())
+            held.append((np.frombuffer(ids, np.dtype(f"u{len(ids) // max(1, int(lengths.sum()))}")), lengths))
+            if size >= LEARN_IDS:
+                yield tuple(np.concatenate(part).astype(np.int64) for part in zip(*held))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(part).astype(np.int64) for part in zip(*held))
+
+
+def _trained(model: AttentionModel, rate: float):
     """A function that trains ``model`` on a task's texts: (parameter, chunk of rows, weights, weighted changes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = {k: v.copy() for k, v in model.p.items()}
         touched = {k: np.zeros(len(v) if k in ROWED else 1, np.float32) for k, v in before.items()}
-        words = _Words(WordIds.of(tokenizer_path))
-        for _, texts in blocks(batches):
-            if len(words.hashes) > MOST_WORDS:
-                words = _Words(words.word_ids)
-            model.learn(*_ids_of(words, texts, model.end), rate, touched=touched)
+        give_back()
+        for ids, lengths in _learned(batches):
+            model.learn(ids, lengths, rate, touched=touched)
         out = []
         for k, weights in touched.items():
             rows = np.flatnonzero(weights)
@@ -332,9 +415,9 @@ def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield pa.record_batch([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), *raw], names=["param", "chunk", "rows", "weights", "sums"])
 
 
-def train_round(model: AttentionModel, docs: DataFrame, tokenizer_path: str, rate: float, tasks: int) -> int:
-    """Trains ``model`` on all texts of ``docs`` in at most ``tasks`` tasks; returns the steps taken by all."""
-    changes = docs.select("text").coalesce(tasks).mapInArrow(_trained(model, tokenizer_path, rate), _CHANGES)
+def train_round(model: AttentionModel, texts: DataFrame, rate: float, tasks: int) -> int:
+    """Trains ``model`` on all ``texts`` (ids, lengths) in at most ``tasks`` tasks; returns the steps taken by all."""
+    changes = texts.select("ids", "lengths").coalesce(tasks).mapInArrow(_trained(model, rate), _CHANGES)
     steps = 0
     some = changes.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SUM_PARTS))).groupBy("param", "chunk", "part").applyInArrow(_summed, _CHANGES)
     for row in some.groupBy("param", "chunk").applyInArrow(_summed, _CHANGES).collect():
@@ -362,7 +445,7 @@ class _Words:
             fresh = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)).view(np.int64)
             self.hashes = np.concatenate([self.hashes, fresh])
             if self.word_ids is not None:
-                ids, counts = self.word_ids.encode([w.decode() for w in new])
+                ids, counts, _ = self.word_ids.look_up(new)
                 self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
                 self.first = np.cumsum(self.counts) - self.counts
         return codes, ends
@@ -389,17 +472,23 @@ def _texts(table: pa.Table) -> list[bytes]:
     return table.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
 
 
-_COUNTS = "block long, word long, n long, aside long, id int"
+#: Rows of a block by ``kind``: its words (hash, training documents, those set aside), the ids of its training documents
+#: with their counts, and, for each round, the texts of the training documents as ids.
+_COUNTS = "block long, kind int, word array<long>, n array<long>, aside array<long>, ids binary, lengths binary"
+_WORDS, _IDS = -1, -2
 
 
 def _count_block(tokenizer_path: str):
-    """A function that counts a block: its distinct words (hash, training documents, those set aside), and the ids of its training documents."""
+    """A function that counts a block and tokenizes its training documents; see _COUNTS."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # a rerun trains in the same order
         train, aside = np.asarray(table.column("train")), np.asarray(table.column("aside"))
+        rounds = np.asarray(table.column("round").fill_null(-1))
         words = _Words(WordIds.of(tokenizer_path))
+        end = words.word_ids.tokenizer.get_vocab_size()
         total, apart = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        texts = _texts(table)
+        texts, rows = _texts(table), []
         for a, b in _pieces(texts):
             codes, ends = words([t.lower() for t in texts[a:b]])
             sums = []
@@ -408,18 +497,22 @@ def _count_block(tokenizer_path: str):
                 counted[: len(before)] += before
                 sums.append(counted)
             total, apart = sums
+            for number in np.unique(rounds[a:b][rounds[a:b] >= 0]).tolist():
+                chosen = rounds[a:b] == number
+                per_text = np.diff(ends)[chosen]
+                ids, per_word = words.ids_of(codes[np.repeat(chosen, np.diff(ends))]) if per_text.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                upto = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(per_text)])]
+                ids = np.insert(ids, upto[1:], end).astype(np.min_scalar_type(end))
+                rows.append((number, None, None, None, ids.tobytes(), (np.diff(upto) + 1).tobytes()))
         of_ids = np.bincount(words.ids, np.repeat(total, words.counts)).astype(np.int64) if len(words.ids) else np.zeros(0, np.int64)
         ids = np.flatnonzero(of_ids)
-        hashes, total, apart = np.append(words.hashes, END_HASH), np.append(total, train.sum()), np.append(apart, aside.sum())
-        n = len(hashes)
-        columns = {
-            "block": pa.array(np.full(n + len(ids), table.column("block")[0].as_py()), pa.int64()),
-            "word": pa.array(np.append(hashes, np.zeros(len(ids), np.int64))),
-            "n": pa.array(np.append(total, of_ids[ids]).astype(np.int64)),
-            "aside": pa.array(np.append(apart, np.zeros(len(ids), np.int64)).astype(np.int64)),
-            "id": pa.array(np.append(np.zeros(n, np.int32), ids).astype(np.int32), mask=np.arange(n + len(ids)) < n),
-        }
-        return pa.table(columns)
+        rows.append((_IDS, ids, of_ids[ids], None, None, None))
+        packed = np.append(words.hashes, END_HASH), np.append(total, train.sum()), np.append(apart, aside.sum())
+        rows += [(_WORDS, *(c[at : at + WORDS_PACKED] for c in packed), None, None) for at in range(0, len(packed[0]), WORDS_PACKED)]
+        kinds = [pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+        block = pa.array(np.full(len(rows), table.column("block")[0].as_py()), pa.int64())
+        return pa.table([block, *columns], names=["block", "kind", "word", "n", "aside", "ids", "lengths"])
 
     return run
 
@@ -532,37 +625,36 @@ def fit(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, tr
     """Counts, the attention model and its weight, from all training documents of ``docs`` (doc_id, text, train)."""
     piece = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(ASIDE_MODULUS * ROUNDS))
     aside = F.col("train") & (piece % ASIDE_MODULUS == 0)
-    docs = docs.withColumn("aside", aside).withColumn("slice", F.floor(piece / ASIDE_MODULUS))
+    number = F.when(aside, ROUNDS).otherwise(F.floor(piece / ASIDE_MODULUS)).cast("int")
+    docs = docs.withColumn("aside", aside).withColumn("round", F.when(F.col("train") & F.col("text").isNotNull(), number))
     size = F.octet_length("text")
     volume, learned = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("train"), size)), F.lit(0))).first()
     n_blocks = int(volume // block_bytes) + 1
 
     block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)).alias("block")
-    dealt = docs.select("doc_id", "text", "train", "aside", block).repartition(n_blocks, "block")
+    dealt = docs.select("doc_id", "text", "train", "aside", "round", block).repartition(n_blocks, "block")
     counts = cut(dealt.groupBy("block").applyInArrow(_count_block(tokenizer_path), _COUNTS))
     release(docs.sparkSession)  # the shuffle of all texts
-    of_words = counts.where("id IS NULL")
+    of_words = counts.where(F.col("kind") == _WORDS).select("block", F.inline(F.arrays_zip("word", "n", "aside")))
     totals = of_words.groupBy("word").agg(F.sum("n").alias("total"), F.sum("aside").alias("aside"))
     n_train, distinct, n_aside, rest = totals.agg(
         F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1)), F.coalesce(F.sum("aside"), F.lit(0)), F.count(F.when(F.col("total") > F.col("aside"), 1))
     ).first()
     vocabulary = WordIds.of(tokenizer_path).tokenizer.get_vocab_size()
     of_ids = np.zeros(vocabulary + 1)
-    for row in counts.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        of_ids[row["id"]] = row["n"]
+    for row in counts.where(F.col("kind") == _IDS).select(F.inline(F.arrays_zip("word", "n"))).groupBy("word").agg(F.sum("n").alias("n")).collect():
+        of_ids[row["word"]] = row["n"]
     of_ids[vocabulary] = docs.where("train").count()
 
     model, steps = AttentionModel(vocabulary, of_ids), 0
-    known = docs.where("train AND text IS NOT NULL")
     tasks = int(learned // train_bytes) + 1
     if learned:
         for number in range(ROUNDS):
-            part = known.where(~F.col("aside") & (F.col("slice") == number))
-            steps += train_round(model, part, tokenizer_path, RATE * (1 - number / (ROUNDS + 1)), tasks)
+            steps += train_round(model, counts.where(F.col("kind") == number), RATE * (1 - number / (ROUNDS + 1)), tasks)
 
     own = of_words.select("block", "word").join(totals.select("word", "total", (F.col("total") - F.col("aside")).alias("rest")), "word")
     own = cut(own.repartition(n_blocks, "block"))
-    del counts, of_words, totals
+    del of_words, totals
     release(docs.sparkSession)
     mix = likeliest({})
     if n_aside:
@@ -570,8 +662,8 @@ def fit(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, tr
         here = own.join(F.broadcast(apart.select("block").distinct()), "block", "left_semi")
         ratios = apart.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_ratio_block(model, tokenizer_path, n_train - n_aside, rest), "bin long, n double")
         mix = likeliest({row["bin"]: row["n"] for row in ratios.groupBy("bin").agg(F.sum("n").alias("n")).collect()})
-        steps += train_round(model, known.where("aside"), tokenizer_path, RATE / (ROUNDS + 1), tasks)
-        del here, ratios
+        steps += train_round(model, counts.where(F.col("kind") == ROUNDS), RATE / (ROUNDS + 1), tasks)
+        del here, ratios, counts
         release(docs.sparkSession)
     return Fitted(model, mix, steps, n_train, distinct, n_blocks, dealt, own)
 

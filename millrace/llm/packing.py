@@ -145,12 +145,12 @@ class WordIds:
             found = text.translate(_SPACES).split(b" ")
             words += [w for w in found if w] if b"" in found else found
             ends.append(len(words))
-        ids, lengths, codes = self._look_up(words)
+        ids, lengths, codes = self.look_up(words)
         upto = np.concatenate([[0], np.cumsum(lengths)])
         per_text = np.diff(upto[np.asarray(ends)])
         return ids, per_text, upto[1:][self.ends_sentence[codes]]
 
-    def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all words, ids per word, code of each word)."""
         if len(self.codes) > VOCABULARY_LIMIT:
             self.shrink()
