@@ -474,7 +474,7 @@ def _texts(table: pa.Table) -> list[bytes]:
 
 #: Rows of a block by ``kind``: its words (hash, training documents, those set aside), the ids of its training documents
 #: with their counts, and, for each round, the texts of the training documents as ids.
-_COUNTS = "block long, kind int, word array<long>, n array<long>, aside array<long>, ids binary, lengths binary"
+_COUNTS = "block int, kind int, word array<long>, n array<long>, aside array<long>, ids binary, lengths binary"
 _WORDS, _IDS = -1, -2
 
 
@@ -511,7 +511,7 @@ def _count_block(tokenizer_path: str):
         rows += [(_WORDS, *(c[at : at + WORDS_PACKED] for c in packed), None, None) for at in range(0, len(packed[0]), WORDS_PACKED)]
         kinds = [pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-        block = pa.array(np.full(len(rows), table.column("block")[0].as_py()), pa.int64())
+        block = pa.array(np.full(len(rows), table.column("block")[0].as_py()), pa.int32())
         return pa.table([block, *columns], names=["block", "kind", "word", "n", "aside", "ids", "lengths"])
 
     return run
@@ -631,8 +631,8 @@ def fit(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, tr
     volume, learned = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("train"), size)), F.lit(0))).first()
     n_blocks = int(volume // block_bytes) + 1
 
-    block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)).alias("block")
-    dealt = docs.select("doc_id", "text", "train", "aside", "round", block).repartition(n_blocks, "block")
+    block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks)).cast("int").alias("block")
+    dealt = docs.select("doc_id", "text", "train", "aside", "round", block).repartitionById(n_blocks, "block")  # a block a task
     counts = cut(dealt.groupBy("block").applyInArrow(_count_block(tokenizer_path), _COUNTS))
     release(docs.sparkSession)  # the shuffle of all texts
     of_words = counts.where(F.col("kind") == _WORDS).select("block", F.inline(F.arrays_zip("word", "n", "aside")))
@@ -653,13 +653,13 @@ def fit(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, tr
             steps += train_round(model, counts.where(F.col("kind") == number), RATE * (1 - number / (ROUNDS + 1)), tasks)
 
     own = of_words.select("block", "word").join(totals.select("word", "total", (F.col("total") - F.col("aside")).alias("rest")), "word")
-    own = cut(own.repartition(n_blocks, "block"))
+    own = cut(own.repartitionById(n_blocks, "block"))
     del of_words, totals
     release(docs.sparkSession)
     mix = likeliest({})
     if n_aside:
         apart = dealt.where("aside")
-        here = own.join(F.broadcast(apart.select("block").distinct()), "block", "left_semi")
+        here = own.join(F.broadcast(apart.select("block").distinct()), "block", "left_semi").repartitionById(n_blocks, "block")
         ratios = apart.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(_ratio_block(model, tokenizer_path, n_train - n_aside, rest), "bin long, n double")
         mix = likeliest({row["bin"]: row["n"] for row in ratios.groupBy("bin").agg(F.sum("n").alias("n")).collect()})
         steps += train_round(model, counts.where(F.col("kind") == ROUNDS), RATE / (ROUNDS + 1), tasks)
@@ -683,7 +683,7 @@ def score(
     )
     found = fit(docs, tokenizer_path, block_bytes)
     run = _score_block(found.model, tokenizer_path, found.n_train, found.mix.weight)
-    own = found.own.repartition(found.n_blocks, "block")
+    own = found.own.repartitionById(found.n_blocks, "block")
     scored = found.dealt.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, SCHEMA)
     base = F.col("base_logs") - F.col("n_tokens") * F.lit(float(np.log10(found.n_train + found.distinct + 1)))
     return scored.select(

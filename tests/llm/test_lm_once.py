@@ -48,3 +48,10 @@ def test_gradients_are_those_of_the_loss():
             ends.append(loss())
         model.p[name] = before
         assert (ends[0] - ends[1]) / 0.04 == pytest.approx((full * way).sum(), rel=0.05, abs=2e-5), name
+
+
+def test_blocks_are_dealt_evenly_to_tasks(spark):
+    docs = spark.createDataFrame([(i, f"words {i} of a text", True) for i in range(4000)], "doc_id long, text string, train boolean")
+    found = lm.fit(docs, PATH, block_bytes=8000)
+    per_task = found.dealt.rdd.mapPartitions(lambda rows: [len({r["block"] for r in rows})]).collect()
+    assert found.n_blocks > 8 and per_task == [1] * found.n_blocks
