@@ -151,8 +151,7 @@ class AttentionModel:
     def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log probability of each id, of texts laid end to end, each closed by the end id.
 
-        The same function as ``_hidden`` and its output, with adjacent matrices multiplied out
-        beforehand and all rows of a chunk in one product.
+        Adjacent matrices are multiplied out beforehand, and all rows of a chunk meet in one product.
         """
         out = np.zeros(len(ids), np.float32)
         starts, sizes, firsts = windows_of(lengths)
